@@ -88,7 +88,8 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + np.float32(0.05)
+    """Word weights: the square of the usual logarithm, so that common words hardly make texts alike."""
+    return ((np.log((1.0 + n) / (1.0 + df)) + 0.05) ** 2).astype(np.float32)
 
 
 def cut(words: list[bytes], window: int = WINDOW) -> list[list[bytes]]:
@@ -207,6 +208,8 @@ def judge(item: list[bytes], reply: list[bytes], text: list[bytes], at: int) ->
     size = len(item) + len(item) // 4 + 2
     low, high = max(0, at - len(item)), min(len(text), at + WINDOW + len(item))
     best, place = 0.0, low
+    if lcs(item, text[low:high]) < REWORDED * len(item):  # no stretch of it has more
+        return best, False
     for start in range(low, max(low + 1, high - size + 1 + 3), 4):
         share = lcs(item, text[start : start + size]) / len(item)
         if share > best:
