@@ -1,3 +1,3 @@
 """Imports every module of queries, which registers them."""
 
-from lexforge.plans import relational, retrieval, text_pack  # noqa: F401
+from lexforge.plans import evaluation, relational, retrieval, text_pack  # noqa: F401
