@@ -222,26 +222,32 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, idf, v, owners, latent, items = shared.value
         unit = np.float32(COSINE)
+        places = {h: i for i, h in enumerate(features.view(np.uint64).tolist())}
+        weigh = idf.tolist()
         known: dict[bytes, int] = {}
         codes: list[int] = []  # by word number: place among features, or -1
         weights: list[float] = []
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_ratio", pa.float64()), ("answer_found", pa.bool_())])
 
+        def numbered(chunks: list[bytes]) -> list[int]:
+            """A number for every chunk: equal words have one; 0 for chunks without a word."""
+            for chunk in set(chunks).difference(known):
+                core = chunk.strip(EDGE)
+                n = known.get(core) if core else 0
+                if n is None:
+                    h = word_hash(core)
+                    n = known[core] = len(codes)
+                    codes.append(places.get(h, -1))
+                    weights.append(weigh[h % BUCKETS])
+                known[chunk] = n
+            return [n for n in map(known.__getitem__, chunks) if n]
+
         def leaks(rows: list[tuple]) -> list[tuple]:
             ids: list[int] = []
             starts, owner, offsets = [], [], []
-            for k, (_, words) in enumerate(rows):
+            for k, (_, words, text) in enumerate(rows):
                 offsets.append(len(ids))
-                for w in words:
-                    n = known.get(w)
-                    if n is None:
-                        h = word_hash(w)
-                        signed = np.uint64(h).view(np.int64)
-                        at = min(int(np.searchsorted(features, signed)), len(features) - 1)
-                        n = known[w] = len(codes)
-                        codes.append(at if features[at] == signed else -1)
-                        weights.append(float(idf[h % BUCKETS]))
-                    ids.append(n)
+                ids.extend(words)
                 s = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
                 starts.append(s + offsets[-1])
                 owner.append(np.full(len(s), k))
@@ -271,7 +277,8 @@ def _search(shared):
                     found.setdefault((int(owner[lo + r]), int(owners[c])), []).append((float(cos[r, c]), int(s[r])))
             out = []
             for (k, i), hits in sorted(found.items()):
-                doc_id, words = rows[k]
+                doc_id, _, text = rows[k]
+                words = tokens(text)
                 item_id, item, reply = items[i]
                 best = (0.0, False, 0.0)
                 for cos, s in sorted(hits, reverse=True):
@@ -296,10 +303,11 @@ def _search(shared):
                         rows, size = [], 0
                     known.clear()
                     codes[:], weights[:] = [-1], [0.0]  # number 0 pads
-                words = tokens(t.as_py())
+                text = t.as_py() or b""
+                words = numbered(text.lower().split())
                 if not words:
                     continue
-                rows.append((doc_id, words))
+                rows.append((doc_id, words, text))
                 size += len(words)
                 if size >= CHUNK:
                     yield batch(rows)
