@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The token alphabets and patterns that the retrieval data is defined with.
 TOKEN = "[0-9A-Za-zÅÄÖåäöÉéÜü]+"
@@ -33,13 +34,13 @@ def lower_norm(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(x: pd.Series, form: pd.Series) -> pd.Series:
     """NFC or NFKC."""
     return pd.Series([None if v is None else unicodedata.normalize(f, v) for v, f in zip(x, form)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     """HTML character references decoded."""
     return x.map(lambda v: None if v is None else html.unescape(v))
@@ -261,7 +262,7 @@ def swedish_stem(word: str) -> str:
     return word[: len(word) - len(third[0])] + third[1] if third else word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_words(x: pd.Series) -> pd.Series:
     """Swedish stems of a column of words; use it on distinct words and join back."""
     return x.map(lambda w: None if w is None else swedish_stem(w))

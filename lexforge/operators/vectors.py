@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
+from lexforge.functions.counts import count_rows
+
 
 
 def smoothed_idf(docs: DataFrame, min_df: int = 2) -> DataFrame:
     """(feature, idf) of docs (doc_id, tokens): ln((1 + n) / (1 + df)) + 1, features of min_df documents or more."""
-    df = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("feature")).groupBy("feature").agg(N.alias("df")).where(F.col("df") >= min_df)
-    return df.crossJoin(F.broadcast(docs.agg(N.alias("n")))).select("feature", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    df = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("feature")).groupBy("feature").agg(count_rows().alias("df")).where(F.col("df") >= min_df)
+    return df.crossJoin(F.broadcast(docs.agg(count_rows().alias("n")))).select("feature", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
 def normalised(vectors: DataFrame, by: list[str]) -> DataFrame:
@@ -24,7 +25,7 @@ def normalised(vectors: DataFrame, by: list[str]) -> DataFrame:
 
 def tfidf(docs: DataFrame, idf: DataFrame, by: list[str]) -> DataFrame:
     """(by..., feature, w) with (1 + ln tf) idf, unit length."""
-    tf = docs.select(*by, F.explode("tokens").alias("feature")).groupBy(*by, "feature").agg(N.alias("tf"))
+    tf = docs.select(*by, F.explode("tokens").alias("feature")).groupBy(*by, "feature").agg(count_rows().alias("tf"))
     return normalised(tf.join(idf, "feature").select(*by, "feature", ((1 + F.log("tf")) * F.col("idf")).alias("w")), by)
 
 
@@ -33,7 +34,7 @@ def centroids(vectors: DataFrame, cls: str, mean: bool = False) -> DataFrame:
     total = vectors.groupBy(cls, "feature").agg(F.sum("w").alias("w"))
     if not mean:
         return normalised(total, [cls])
-    size = vectors.select(cls, "doc_id").distinct().groupBy(cls).agg(N.alias("n"))
+    size = vectors.select(cls, "doc_id").distinct().groupBy(cls).agg(count_rows().alias("n"))
     return total.join(size, cls).select(cls, "feature", (F.col("w") / F.col("n")).alias("w"))
 
 
@@ -115,7 +116,7 @@ def passive_aggressive(rows: DataFrame, margin: float = 1.0) -> DataFrame:
 
 def logistic(rows: DataFrame, columns: list[str], label: str, steps: int = 100, rate: float = 0.5, l2: float = 0.01) -> tuple[np.ndarray, DataFrame]:
     """Full-batch logistic regression with class weights: each step is one aggregation, only gradients reach the driver."""
-    n, pos = rows.agg(N, F.sum(label)).head()
+    n, pos = rows.agg(count_rows(), F.sum(label)).head()
     weight = F.when(F.col(label) == 1, n / (2.0 * max(pos, 1))).otherwise(n / (2.0 * max(n - pos, 1)))
     data = rows.select(*columns, F.col(label).cast("double").alias("y"), weight.alias("cw")).persist()
     theta = np.zeros(len(columns) + 1)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.counts import count_rows
 from lexforge.functions import text as T
 from lexforge.operators import graph
 from lexforge.plans.registry import Tables, query
 from lexforge.plans.retrieval import ALPHABET
 
-N = F.count(F.lit(1))
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, p_type AS kind, p_partkey % 3 = 0 AS active FROM part), e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey % 3 = 2 UNION ALL SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 3 = 2 AND p_size > 25),
@@ -77,9 +77,9 @@ def record_errors(t: Tables) -> DataFrame:
 @query("""SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS dangling_orders, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated_documents, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown_labels, (SELECT count(*) FROM labels WHERE quality NOT IN (0, 1) OR toxic NOT IN (0, 1)) AS bad_labels""")
 def integrity(t: Tables) -> DataFrame:
     """References, keys and values over whole tables, each an anti-join or an aggregation."""
-    dangling = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(N.alias("dangling_orders"))
-    repeated = t.documents.groupBy("doc_id").agg(N.alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_documents"))
-    unknown = t.labels.join(t.documents, "doc_id", "left_anti").agg(N.alias("unknown_labels"))
+    dangling = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(count_rows().alias("dangling_orders"))
+    repeated = t.documents.groupBy("doc_id").agg(count_rows().alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_documents"))
+    unknown = t.labels.join(t.documents, "doc_id", "left_anti").agg(count_rows().alias("unknown_labels"))
     bad = t.labels.agg(F.count_if(~F.col("quality").isin(0, 1) | ~F.col("toxic").isin(0, 1)).alias("bad_labels"))
     return dangling.crossJoin(repeated).crossJoin(unknown).crossJoin(bad)  # one row each
 
@@ -126,7 +126,7 @@ def capped_queries(t: Tables) -> DataFrame:
 @query("""WITH q AS (SELECT props, count(*) AS n FROM events GROUP BY props), k AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, n, props FROM q) SELECT props, n FROM k WHERE k NOT IN (SELECT n_nationkey FROM nation) AND k NOT IN (SELECT p_size FROM part WHERE p_brand = 'Brand#1') ORDER BY n DESC, props LIMIT 15""")
 def unbound_queries(t: Tables) -> DataFrame:
     """The most frequent queries that neither of two vocabularies knows."""
-    q = t.events.groupBy("props").agg(N.alias("n")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    q = t.events.groupBy("props").agg(count_rows().alias("n")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     sizes = t.part.where("p_brand = 'Brand#1'").select(F.col("p_size").cast("long").alias("k"))
     rest = q.join(t.nation.select(F.col("n_nationkey").cast("long").alias("k")), "k", "left_anti").join(sizes, "k", "left_anti")
     return rest.select("props", "n").orderBy(F.desc("n"), "props").limit(15)
@@ -150,14 +150,14 @@ def lane_combinations(t: Tables) -> DataFrame:
     """Which lanes cover a concept together, and what each adds in order."""
     place = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     per = t.lineitem.groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "+").alias("combination"), F.min(place).alias("first"))
-    return per.groupBy("combination").agg(N.alias("concepts"), *(F.count_if(F.col("first") == i).alias(n) for i, n in enumerate(("covered_by_first", "added_by_second", "added_by_third"))))
+    return per.groupBy("combination").agg(count_rows().alias("concepts"), *(F.count_if(F.col("first") == i).alias(n) for i, n in enumerate(("covered_by_first", "added_by_second", "added_by_third"))))
 
 
 @query("""WITH r AS (SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang, quality), s AS (SELECT lang, sum(n) AS n, coalesce(sum(n) FILTER (quality = 1), 0) AS k FROM r GROUP BY lang)
 SELECT lang, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(k / n, 6) AS rate, round(100.0 * (k / n - (SELECT sum(k) / sum(n) FROM s)), 6) AS points FROM s""")
 def rate_deltas(t: Tables) -> DataFrame:
     """Rates by stratum and their distance from the total in points."""
-    s = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(N.alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
+    s = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(count_rows().alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
     total = s.agg((F.sum("k") / F.sum("n")).alias("all"))
     return s.crossJoin(F.broadcast(total)).select("lang", "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(100.0 * (F.col("k") / F.col("n") - F.col("all")), 6).alias("points"))  # one row
 
@@ -167,7 +167,7 @@ def context_recall(t: Tables) -> DataFrame:
     """The share of intended contexts that a result shows."""
     i = t.orders.select(F.col("o_custkey").alias("q"), F.col("o_orderpriority").alias("c")).distinct()
     v = t.orders.where("o_totalprice > 250000").select(F.col("o_custkey").alias("q"), F.col("o_orderpriority").alias("c"), F.lit(1).alias("v")).distinct()
-    j = i.join(v, ["q", "c"], "left").groupBy("q").agg(N.alias("intended"), F.count("v").alias("visible"))
+    j = i.join(v, ["q", "c"], "left").groupBy("q").agg(count_rows().alias("intended"), F.count("v").alias("visible"))
     return j.withColumn("recall", F.round(F.col("visible") / F.col("intended"), 6))
 
 
@@ -184,4 +184,4 @@ def token_overlap(t: Tables) -> DataFrame:
 def tri_state(t: Tables) -> DataFrame:
     """Known true, known false and unknown, which is never false."""
     kind = F.when(F.col("value").isNull(), "UNKNOWN").when(F.col("value") > 50, "KNOWN_TRUE").otherwise("KNOWN_FALSE")
-    return t.events.groupBy(kind.alias("kind")).agg(N.alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return t.events.groupBy(kind.alias("kind")).agg(count_rows().alias("n"), F.round(F.avg("value"), 6).alias("mean"))

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.counts import count_rows
 from lexforge.functions import text as T
 from lexforge.operators import index, metrics
 from lexforge.plans.registry import Tables, query
 from lexforge.plans.retrieval import DOCS_SQL, FUSE_SQL, TOP_SQL, bm25_topk, char_gram_bm25, documents, questions, rounded
 from lexforge.plans.text_pack import FOUR_SQL, four_grams
 
-N = F.count(F.lit(1))
 JUDGED_SQL = f"{FOUR_SQL}, jd AS (SELECT DISTINCT item_id AS query_id, doc_id FROM g JOIN b USING (gram))".replace("b AS (SELECT DISTINCT item_id", "b4 AS (SELECT DISTINCT item_id").replace("JOIN b USING", "JOIN b4 USING").replace("v AS (SELECT item_id", "v4 AS (SELECT item_id").replace("FROM v WHERE", "FROM v4 WHERE").replace("w AS (SELECT doc_id,", "w4 AS (SELECT doc_id,").replace("FROM w WHERE", "FROM w4 WHERE").replace("g AS (SELECT DISTINCT doc_id", "g4 AS (SELECT DISTINCT doc_id").replace("FROM g JOIN", "FROM g4 JOIN")
 
 
@@ -51,7 +51,7 @@ def paired_rankings(t: Tables) -> DataFrame:
 SELECT lang, n, k, round(greatest(0, ((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) AS low, round(least(1, ((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) AS high FROM w""")
 def wilson_intervals(t: Tables) -> DataFrame:
     """Shares by stratum with their 95 % intervals."""
-    c = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(N.alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
+    c = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(count_rows().alias("n"), F.count_if(F.col("quality") == 1).alias("k"))
     return c.withColumn("w", metrics.wilson(F.col("k"), F.col("n"))).select("lang", "n", "k", "w.low", "w.high")
 
 
@@ -85,7 +85,7 @@ def weighted_and_abstention(t: Tables) -> DataFrame:
     confident = results.where("rank = 1 and score >= 100").select("query_id", F.lit(True).alias("confident"))
     none = volume.join(j, "query_id", "left_anti").join(confident, "query_id", "left")
     shown = F.coalesce("confident", F.lit(False))
-    return hits.crossJoin(none.agg(N.alias("no_match"), F.count_if(~shown).alias("abstained"), F.count_if(shown).alias("false_confident")))  # one row each
+    return hits.crossJoin(none.agg(count_rows().alias("no_match"), F.count_if(~shown).alias("abstained"), F.count_if(shown).alias("false_confident")))  # one row each
 
 
 FEATURES_SQL = f"""{DOCS_SQL}, {JUDGED_SQL}, top AS (SELECT query_id, doc_id, round(score, 6) AS score, {TOP_SQL} AS rank FROM sc WHERE score > 0 QUALIFY rank <= 5),
@@ -105,8 +105,8 @@ def features(t: Tables) -> DataFrame:
     df = posted.groupBy("term").agg(F.first("df").alias("df"))
     terms = index.query_terms(asked).join(df, "term", "left").crossJoin(F.broadcast(stats))  # one row
     weigh = terms.select("query_id", "term", index.idf(F.col("n_docs"), F.coalesce("df", F.lit(0))).alias("idf"))
-    whole = weigh.groupBy("query_id").agg(N.alias("n_terms"), F.sum("idf").alias("all_idf"))
-    shared = top.select("query_id", "doc_id").join(weigh, "query_id").join(posted.select("term", "doc_id"), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(N.alias("shared"), F.sum("idf").alias("idf"))
+    whole = weigh.groupBy("query_id").agg(count_rows().alias("n_terms"), F.sum("idf").alias("all_idf"))
+    shared = top.select("query_id", "doc_id").join(weigh, "query_id").join(posted.select("term", "doc_id"), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(count_rows().alias("shared"), F.sum("idf").alias("idf"))
     j = judgments(t).withColumn("relevant", F.lit(True))
     out = top.join(shared, ["query_id", "doc_id"]).join(whole, "query_id").join(j, ["query_id", "doc_id"], "left")
     ratio = F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)
@@ -140,7 +140,7 @@ def confidence_formulas(t: Tables) -> DataFrame:
     r, i, c = F.col("ratio"), F.col("idf_coverage"), F.col("coverage")
     named = {"lexical": i, "mean": (r + i) / 2, "product": r * i, "weakest": F.least(r, i, c)}
     rows = features(t).select("relevant", F.explode(F.array(*(F.struct(F.lit(k).alias("formula"), v.alias("confidence")) for k, v in named.items()))).alias("x")).select("relevant", "x.*")
-    low = rows.where("relevant").groupBy("formula").agg(F.min("confidence").alias("low"), N.alias("relevant"))
+    low = rows.where("relevant").groupBy("formula").agg(F.min("confidence").alias("low"), count_rows().alias("relevant"))
     kept = rows.where("not relevant").join(low.select("formula", "low"), "formula").groupBy("formula").agg(F.count_if(F.col("confidence") >= F.col("low")).alias("others_kept"))
     return low.join(kept, "formula", "left").select("formula", F.round("low", 6).alias("threshold"), "relevant", F.coalesce("others_kept", F.lit(0)).alias("others_kept"))
 
@@ -154,7 +154,7 @@ def local_contrast(t: Tables) -> DataFrame:
     top = index.ranked(index.scores(asked, posted), 5).select("query_id", "doc_id")
     hits = top.join(index.query_terms(asked), "query_id").join(posted.select("term", "doc_id", "df"), ["term", "doc_id"]).crossJoin(F.broadcast(index.corpus_statistics(docs)))  # one row
     idf = index.idf(F.col("n_docs"), F.col("df"))
-    local = hits.select("query_id", "doc_id", idf.alias("idf"), N.over(Window.partitionBy("query_id", "term")).alias("local_df"))
+    local = hits.select("query_id", "doc_id", idf.alias("idf"), count_rows().over(Window.partitionBy("query_id", "term")).alias("local_df"))
     s = lambda x: F.round(F.sum(x), 6)
     return local.groupBy("query_id", "doc_id").agg(s(F.col("idf") * F.log(6 / (1 + F.col("local_df")))).alias("contrast"), s(F.col("idf") / F.col("local_df")).alias("shared_out"), s(F.when(F.col("local_df") == 1, F.col("idf")).otherwise(0.0)).alias("exclusive"))
 
@@ -180,7 +180,7 @@ def retention_summary(t: Tables) -> DataFrame:
     per = features(t).withColumn("shown", (F.col("rank") == 1) | (F.col("idf_coverage") >= 0.3)).groupBy("query_id").agg(
         F.bool_or("relevant").alias("before"), F.bool_or(rel & shown).alias("after"), F.count_if("shown").alias("n_shown"), F.count_if(~rel & shown).alias("negatives"), F.min(F.when(rel & shown, F.col("rank"))).alias("first")
     )
-    return per.agg(N.alias("cases"), F.count_if("before").alias("hit5"), F.count_if("after").alias("hit5_kept"), F.round(F.avg("n_shown"), 6).alias("mean_shown"), F.sum("negatives").alias("negatives_shown"), F.count_if(F.col("negatives") == 0).alias("clean_lists"), F.round(F.avg("first"), 6).alias("first_acceptable"))
+    return per.agg(count_rows().alias("cases"), F.count_if("before").alias("hit5"), F.count_if("after").alias("hit5_kept"), F.round(F.avg("n_shown"), 6).alias("mean_shown"), F.sum("negatives").alias("negatives_shown"), F.count_if(F.col("negatives") == 0).alias("clean_lists"), F.round(F.avg("first"), 6).alias("first_acceptable"))
 
 
 @query(f"""WITH {FEATURES_SQL} SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY sha256('blind:' || query_id || ':' || doc_id)) AS payload FROM fe GROUP BY query_id""")
@@ -201,14 +201,14 @@ def funnel(t: Tables) -> DataFrame:
     for s in steps:
         upto.append(upto[-1] & F.col(s) if upto else F.col(s))
     counts = [F.count_if(c).alias(n) for c, n in zip(upto, ["viewed", "clicked", "signed", "bought"])]
-    return u.agg(N.alias("users"), *counts).withColumn("conversion", F.round(F.col("bought") / F.nullif("viewed", F.lit(0)), 6))
+    return u.agg(count_rows().alias("users"), *counts).withColumn("conversion", F.round(F.col("bought") / F.nullif("viewed", F.lit(0)), 6))
 
 
 @query("""WITH f AS (SELECT turn % 4 AS fold, role, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY turn % 4, role), s AS (SELECT role, sum(n) AS n, sum(chars) AS chars FROM f GROUP BY role)
 SELECT f.fold, f.role, f.n AS held_out, CAST(s.n - f.n AS BIGINT) AS trained_on, round((s.chars - f.chars) / nullif(s.n - f.n, 0), 6) AS mean_chars FROM f JOIN s ON s.role = f.role""")
 def leave_one_fold_out(t: Tables) -> DataFrame:
     """Statistics of all folds but one: totals less the fold's own share, no second scan."""
-    f = t.conversations.groupBy((F.col("turn") % 4).alias("fold"), "role").agg(N.alias("n"), F.sum(F.length("text")).alias("chars"))
+    f = t.conversations.groupBy((F.col("turn") % 4).alias("fold"), "role").agg(count_rows().alias("n"), F.sum(F.length("text")).alias("chars"))
     s = f.groupBy("role").agg(F.sum("n").alias("all_n"), F.sum("chars").alias("all_chars"))
     rest = F.col("all_n") - F.col("n")
     return f.join(s, "role").select("fold", "role", F.col("n").alias("held_out"), rest.alias("trained_on"), F.round((F.col("all_chars") - F.col("chars")) / F.nullif(rest, F.lit(0)), 6).alias("mean_chars"))
@@ -224,5 +224,5 @@ def lane_complement(t: Tables) -> DataFrame:
     w, g = F.col("w"), F.col("g")
     return a.join(b, "query_id").agg(
         F.count_if(w & g).alias("both"), F.count_if(w & ~g).alias("words_only"), F.count_if(g & ~w).alias("grams_only"), F.count_if(~w & ~g).alias("neither"), F.count_if(w | g).alias("either"),
-        F.round(100.0 * (F.count_if(g) - F.count_if(w)) / N, 6).alias("delta_points"),
+        F.round(100.0 * (F.count_if(g) - F.count_if(w)) / count_rows(), 6).alias("delta_points"),
     )

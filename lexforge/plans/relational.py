@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.counts import count_rows
 from lexforge.functions import text as T
 from lexforge.plans.registry import Tables, query
 
-N = F.count(F.lit(1))
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -33,7 +33,7 @@ def concept_texts(t: Tables) -> DataFrame:
 def reject_reasons(t: Tables) -> DataFrame:
     """A chain of filters: the first rule that fails names the reason; null is accepted."""
     reason = F.when(F.col("l_quantity") < 5, "small").when(F.col("l_discount") > 0.08, "discounted").when(F.col("l_returnflag") == "R", "returned")
-    return t.lineitem.select(reason.alias("reason")).groupBy("reason").agg(N.alias("n"))
+    return t.lineitem.select(reason.alias("reason")).groupBy("reason").agg(count_rows().alias("n"))
 
 
 @query("""WITH s AS (SELECT l_partkey, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_partkey),
@@ -42,7 +42,7 @@ SELECT p_partkey, lines, concat_ws('+', CASE WHEN lines < 25 THEN 'few_lines' EN
 CASE WHEN lines >= 40 THEN 'admitted' WHEN suppliers > 20 THEN 'excluded_many' WHEN p_size > 25 THEN 'excluded_redundant' ELSE 'unbound' END AS bucket FROM p""")
 def gap_tags(t: Tables) -> DataFrame:
     """Support of every concept, gap tags from rules, and a bucket by priority."""
-    s = t.lineitem.groupBy("l_partkey").agg(N.alias("lines"), F.countDistinct("l_suppkey").alias("suppliers"), F.sum("l_quantity").alias("quantity"))
+    s = t.lineitem.groupBy("l_partkey").agg(count_rows().alias("lines"), F.countDistinct("l_suppkey").alias("suppliers"), F.sum("l_quantity").alias("quantity"))
     p = t.part.join(s, F.col("l_partkey") == F.col("p_partkey"), "left").na.fill(0, ["lines", "suppliers", "quantity"])
     rules = {"few_lines": F.col("lines") < 25, "few_suppliers": F.col("suppliers") < 20, "large": F.col("p_size") > 40, "no_demand": F.col("quantity") == 0}
     gaps = F.array_join(F.array_compact(F.array(*(F.when(c, name) for name, c in rules.items()))), "+")
@@ -65,13 +65,13 @@ def edge_matrix(t: Tables) -> DataFrame:
     )
     typed = e.join(known, ["rel", "dst"], "left").select(F.lit("part").alias("src_type"), "rel", "src", F.coalesce("dst_type", F.lit("__unresolved__")).alias("dst_type"))
     sets = [[F.col("src_type"), F.col("rel"), F.col("dst_type")], [F.col("src_type"), F.col("rel")]]
-    return typed.groupingSets(sets, "src_type", "rel", "dst_type").agg(N.alias("edges"), F.countDistinct("src").alias("concepts"))
+    return typed.groupingSets(sets, "src_type", "rel", "dst_type").agg(count_rows().alias("edges"), F.countDistinct("src").alias("concepts"))
 
 
 @query("""SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
 def left_with_zero(t: Tables) -> DataFrame:
     """Left outer join whose missing side counts as zero."""
-    o = t.orders.groupBy("o_custkey").agg(N.alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    o = t.orders.groupBy("o_custkey").agg(count_rows().alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     return t.customer.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").na.fill(0, ["n_orders", "total"]).select("c_custkey", "n_orders", "total")
 
 
@@ -86,8 +86,8 @@ def semi_and_anti(t: Tables) -> DataFrame:
 @query("""SELECT r_name, n_name, count(DISTINCT s_suppkey) AS suppliers, count(DISTINCT c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name""")
 def hierarchy(t: Tables) -> DataFrame:
     """Ancestors by fixed-depth joins, with the concepts below each."""
-    s = t.supplier.groupBy("s_nationkey").agg(N.alias("suppliers"))
-    c = t.customer.groupBy("c_nationkey").agg(N.alias("customers"))
+    s = t.supplier.groupBy("s_nationkey").agg(count_rows().alias("suppliers"))
+    c = t.customer.groupBy("c_nationkey").agg(count_rows().alias("customers"))
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     n = n.join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return n.na.fill(0, ["suppliers", "customers"]).select("r_name", "n_name", "suppliers", "customers")
@@ -133,10 +133,10 @@ SELECT o, rule, len(have) - len(need) AS extra FROM o JOIN r ON list_has_all(hav
 def superset_join(t: Tables) -> DataFrame:
     """Sets that hold all of a rule's elements: explode, equi-join, count."""
     have = t.lineitem.select(F.col("l_orderkey").alias("o"), F.concat("l_returnflag", "l_linestatus").alias("x")).distinct()
-    size = have.groupBy("o").agg(N.alias("have"))
+    size = have.groupBy("o").agg(count_rows().alias("have"))
     rules = t.spark.createDataFrame([(1, ["AF", "NO"]), (2, ["RF"]), (3, ["AF", "RF"])], "rule int, need array<string>")
     need = rules.select("rule", F.size("need").alias("n_need"), F.explode("need").alias("x"))
-    hits = have.join(F.broadcast(need), "x").groupBy("o", "rule", "n_need").agg(N.alias("n")).where("n = n_need")  # three rules
+    hits = have.join(F.broadcast(need), "x").groupBy("o", "rule", "n_need").agg(count_rows().alias("n")).where("n = n_need")  # three rules
     return hits.join(size, "o").select("o", "rule", (F.col("have") - F.col("n_need")).alias("extra"))
 
 
@@ -182,7 +182,7 @@ def number_statistics(t: Tables) -> DataFrame:
     hit = F.col("l_discount") > 0.05
     q = "l_quantity"
     return t.lineitem.groupBy("l_returnflag").agg(
-        N.alias("n"), F.countDistinct("l_partkey").alias("parts"), F.min(q).alias("low"), F.median(q).alias("mid"), F.round(F.avg(q), 6).alias("mean"), F.max(q).alias("high"),
+        count_rows().alias("n"), F.countDistinct("l_partkey").alias("parts"), F.min(q).alias("low"), F.median(q).alias("mid"), F.round(F.avg(q), 6).alias("mean"), F.max(q).alias("high"),
         F.expr("percentile_disc(0.9) within group (order by l_quantity)").alias("p90"), F.count_if(hit).alias("discounted"),
         F.round(F.sum(F.when(hit, F.col("l_extendedprice")).otherwise(0.0)) / F.sum("l_extendedprice"), 6).alias("weighted"),
     )
@@ -191,7 +191,7 @@ def number_statistics(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT l_returnflag, max(l_quantity) FILTER (i = CAST(floor((n - 1) * 0.95) AS BIGINT)) AS p95 FROM r GROUP BY l_returnflag""")
 def floor_percentile(t: Tables) -> DataFrame:
     """The value at place floor((n - 1) p): from counts by value, not from sorted rows."""
-    counts = t.lineitem.groupBy("l_returnflag", "l_quantity").agg(N.alias("n"))
+    counts = t.lineitem.groupBy("l_returnflag", "l_quantity").agg(count_rows().alias("n"))
     by = Window.partitionBy("l_returnflag")
     upto = F.sum("n").over(by.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, 0))
     place = F.floor((F.sum("n").over(by) - 1) * 0.95)
@@ -201,7 +201,7 @@ def floor_percentile(t: Tables) -> DataFrame:
 @query("""SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY n""")
 def count_distribution(t: Tables) -> DataFrame:
     """Histogram of group sizes."""
-    return t.orders.groupBy("o_custkey").agg(N.alias("n")).groupBy("n").agg(N.alias("customers"))
+    return t.orders.groupBy("o_custkey").agg(count_rows().alias("n")).groupBy("n").agg(count_rows().alias("customers"))
 
 
 @query("""SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_retailprice DESC, p_partkey) AS parts, arg_max(p_partkey, p_partkey + p_size * 1000000) AS largest, arg_min(p_name, length(p_name) * 1000000 + p_partkey) AS shortest FROM part GROUP BY p_brand""")
@@ -218,8 +218,8 @@ def group_sets(t: Tables) -> DataFrame:
 (SELECT count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 2)) AS ambiguous_names""")
 def uniqueness(t: Tables) -> DataFrame:
     """Repeated keys, repeated and ambiguous surfaces."""
-    names = t.part.groupBy("p_name").agg(N.alias("n"), F.countDistinct("p_brand").alias("brands"))
-    keys = t.part.groupBy("p_partkey").agg(N.alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
+    names = t.part.groupBy("p_name").agg(count_rows().alias("n"), F.countDistinct("p_brand").alias("brands"))
+    keys = t.part.groupBy("p_partkey").agg(count_rows().alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
     return names.agg(F.count_if(F.col("n") > 1).alias("repeated_names"), F.count_if(F.col("brands") >= 2).alias("ambiguous_names")).crossJoin(keys)  # one row each
 
 
@@ -227,7 +227,7 @@ def uniqueness(t: Tables) -> DataFrame:
 def surface_groups(t: Tables) -> DataFrame:
     """Spellings of one surface: the best origin and the shortest exemplar."""
     origin = F.when(F.col("p_type") == "PROMO", 0).when(F.col("p_type") == "ECONOMY", 1).otherwise(2)
-    return t.part.groupBy(T.norm(F.col("p_name")).alias("surface")).agg(N.alias("n"), F.min(origin).alias("origin"), F.min_by("p_name", F.struct(F.length("p_name"), "p_partkey")).alias("exemplar"))
+    return t.part.groupBy(T.norm(F.col("p_name")).alias("surface")).agg(count_rows().alias("n"), F.min(origin).alias("origin"), F.min_by("p_name", F.struct(F.length("p_name"), "p_partkey")).alias("exemplar"))
 
 
 @query("""SELECT stratum, count(*) AS n, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END), 6) AS rate FROM (SELECT l_discount, unnest(['all', 'flag_' || l_returnflag, 'status_' || l_linestatus]) AS stratum FROM lineitem) GROUP BY stratum""")
@@ -235,7 +235,7 @@ def strata_rollup(t: Tables) -> DataFrame:
     """Rates by stratum, a row counting in each of its strata, with the total."""
     strata = F.explode(F.array(F.lit("all"), F.concat(F.lit("flag_"), "l_returnflag"), F.concat(F.lit("status_"), "l_linestatus")))
     hit = F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0)
-    return t.lineitem.select(strata.alias("stratum"), hit.alias("hit")).groupBy("stratum").agg(N.alias("n"), F.round(F.avg("hit"), 6).alias("rate"))
+    return t.lineitem.select(strata.alias("stratum"), hit.alias("hit")).groupBy("stratum").agg(count_rows().alias("n"), F.round(F.avg("hit"), 6).alias("rate"))
 
 
 DEMAND_SQL = "d AS (SELECT l_partkey AS part, CAST(sum(l_quantity) AS BIGINT) AS demand FROM lineitem GROUP BY l_partkey)"
@@ -253,7 +253,7 @@ def pareto_thresholds(t: Tables) -> DataFrame:
     Concepts with one demand are summed up first, so the running sum goes over distinct demands, not rows:
     within a level, ranks and sums grow evenly.
     """
-    levels = demand(t).groupBy("demand").agg(N.alias("n"))
+    levels = demand(t).groupBy("demand").agg(count_rows().alias("n"))
     order = Window.orderBy(F.desc("demand"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     mass = F.col("demand") * F.col("n")
@@ -297,7 +297,7 @@ def even_sample(t: Tables) -> DataFrame:
     wanted = sorted({int(k * (n - 1) / 9.0 + 0.5) for k in range(10)}) if n else []
     parts = p.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select("p_partkey", F.spark_partition_id().alias("part"))
     place = parts.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("p_partkey")) - 1)
-    sizes = parts.groupBy("part").agg(N.alias("n"))
+    sizes = parts.groupBy("part").agg(count_rows().alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row per partition
     return place.join(starts, "part").where((F.col("start") + F.col("i")).isin(wanted)).select("p_partkey")
 
@@ -312,7 +312,7 @@ def hash_order(t: Tables) -> DataFrame:
 @query("""SELECT l_shipdate::DATE AS day, count(*) AS n FROM lineitem GROUP BY day ORDER BY n DESC, day LIMIT 10""")
 def most_common(t: Tables) -> DataFrame:
     """The ten most frequent values."""
-    return t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(N.alias("n")).orderBy(F.desc("n"), "day").limit(10)
+    return t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(count_rows().alias("n")).orderBy(F.desc("n"), "day").limit(10)
 
 
 @query("""WITH f AS (SELECT p_brand, p_partkey, p_size, p_retailprice, bool_or(p_size > 48) OVER (PARTITION BY p_brand) AS strong, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice, p_type, p_name, p_partkey) AS rank FROM part) SELECT p_brand, p_partkey, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= CASE WHEN strong THEN 5 ELSE 2 END""")
@@ -346,7 +346,7 @@ def edge_set_compare(t: Tables) -> DataFrame:
     both = F.count_if(F.col("a") & F.col("b"))
     return u.agg(
         F.count_if("a").alias("in_left"), F.count_if("b").alias("in_right"), both.alias("in_both"), F.count_if(F.col("a") & ~F.col("b")).alias("left_only"), F.count_if(F.col("b") & ~F.col("a")).alias("right_only"),
-        F.round(ratio(both, N, 1.0), 6).alias("jaccard"), (both == N).alias("exact_equal"),
+        F.round(ratio(both, count_rows(), 1.0), 6).alias("jaccard"), (both == count_rows()).alias("exact_equal"),
     )
 
 
@@ -356,7 +356,7 @@ def neighbour_jaccard(t: Tables) -> DataFrame:
     """Jaccard similarity of two neighbour sets of each key; keys without neighbours don't occur."""
     a, b = edge_sets(t)
     u = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), ["s", "p"], "full")
-    return u.groupBy("s").agg(F.round(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / N, 6).alias("jaccard"))
+    return u.groupBy("s").agg(F.round(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / count_rows(), 6).alias("jaccard"))
 
 
 @query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT 'intersect', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
@@ -364,14 +364,14 @@ UNION ALL SELECT 'except', count(*) FROM (SELECT l_partkey FROM lineitem WHERE l
 def id_sets(t: Tables) -> DataFrame:
     """Union, intersection and difference of id sets."""
     a, b = (t.lineitem.where(F.col("l_returnflag") == f).select("l_partkey") for f in ("A", "R"))
-    sizes = [x.agg(F.lit(op).alias("op"), N.alias("n")) for op, x in (("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.subtract(b)))]
+    sizes = [x.agg(F.lit(op).alias("op"), count_rows().alias("n")) for op, x in (("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.subtract(b)))]
     return sizes[0].union(sizes[1]).union(sizes[2])
 
 
 @query("""WITH a AS (SELECT l_partkey AS p, count(*) AS f FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey), b AS (SELECT l_partkey AS p, count(*) AS f FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) SELECT a.p, a.f - coalesce(b.f, 0) AS f FROM a LEFT JOIN b ON a.p = b.p WHERE a.f > coalesce(b.f, 0)""")
 def bag_difference(t: Tables) -> DataFrame:
     """Counts of one bag less another's, where more is left."""
-    a, b = (t.lineitem.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").alias("p")).agg(N.alias(n)) for f, n in (("A", "f"), ("R", "g")))
+    a, b = (t.lineitem.where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").alias("p")).agg(count_rows().alias(n)) for f, n in (("A", "f"), ("R", "g")))
     return a.join(b, "p", "left").select("p", (F.col("f") - F.coalesce("g", F.lit(0))).alias("f")).where("f > 0")
 
 
@@ -388,6 +388,6 @@ def token_jaccard(t: Tables) -> DataFrame:
 def partition_check(t: Tables) -> DataFrame:
     """Whether classes are disjoint and cover everything."""
     o, f = (t.orders.where(F.col("o_orderstatus") == s).select("o_orderkey") for s in ("O", "F"))
-    shared = o.join(f, "o_orderkey", "left_semi").agg(N.alias("shared"))
-    total = t.orders.groupBy("o_orderstatus").agg(N.alias("n")).agg(F.sum("n").alias("s")).crossJoin(t.orders.agg(N.alias("t")))  # one row each
+    shared = o.join(f, "o_orderkey", "left_semi").agg(count_rows().alias("shared"))
+    total = t.orders.groupBy("o_orderstatus").agg(count_rows().alias("n")).agg(F.sum("n").alias("s")).crossJoin(t.orders.agg(count_rows().alias("t")))  # one row each
     return shared.crossJoin(total.select((F.col("s") == F.col("t")).alias("covered")))

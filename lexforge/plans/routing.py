@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.counts import count_rows
 from lexforge.functions import text as T
 from lexforge.operators import fusion, index
 from lexforge.plans.registry import Tables, query
 from lexforge.plans.retrieval import ALPHABET, DOCS_SQL, documents, rounded
 
-N = F.count(F.lit(1))
 # What a surface signal adds to a short query's score.
 SIGNAL_BOOST = {4: 1_000_000.0, 3: 10_000.0, 2: 5_000.0, 1: 2_500.0}
 
@@ -110,7 +110,7 @@ def routed_ranking(t: Tables) -> DataFrame:
     """The concept of that very name, then what its title routes to (names of its brand, by demand), then the ranking."""
     q, v = asked(t), vocabulary(t)
     exact = q.select("query_id", T.norm(F.col("query")).alias("s")).join(v.select("doc_id", T.norm(F.col("name")).alias("s")), "s").select("query_id", "doc_id")
-    demand = t.lineitem.groupBy(F.col("l_partkey").alias("doc_id")).agg(N.alias("demand"))
+    demand = t.lineitem.groupBy(F.col("l_partkey").alias("doc_id")).agg(count_rows().alias("demand"))
     brand = t.part.select(F.col("p_partkey").alias("doc_id"), "p_brand")
     members = t.part.select("p_brand", F.col("p_name").alias("name")).distinct().join(v.select("name", "doc_id"), "name")
     routed = exact.join(brand, "doc_id").select("query_id", "p_brand").join(members, "p_brand").join(demand, "doc_id", "left").select("query_id", "doc_id", "name", F.coalesce("demand", F.lit(0)).alias("demand")).distinct()
@@ -143,7 +143,7 @@ def expanded_documents(t: Tables) -> DataFrame:
     docs = documents(t)
     labels = docs.select("source", "lang").distinct().select("source", F.explode(T.tokens(F.concat_ws(" ", "lang", "source"))).alias("term"))
     own = docs.select("doc_id", F.explode("tokens").alias("term"))
-    return own.union(docs.select("doc_id", "source").join(labels, "source").select("doc_id", "term")).groupBy("doc_id").agg(N.alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
+    return own.union(docs.select("doc_id", "source").join(labels, "source").select("doc_id", "term")).groupBy("doc_id").agg(count_rows().alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
 
 
 @query("""WITH m AS (SELECT item_id, lower(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))) AS n FROM benchmark), h AS (SELECT item_id, n FROM m WHERE item_id % 5 = 0), k AS (SELECT n, min(item_id) AS item_id, count(*) AS copies FROM m WHERE item_id NOT IN (SELECT item_id FROM h) AND n NOT IN (SELECT n FROM h) GROUP BY n) SELECT item_id, copies FROM k""")
@@ -152,7 +152,7 @@ def expansion_texts(t: Tables) -> DataFrame:
     m = t.benchmark.select("item_id", T.lower_norm(F.col("text")).alias("n"))
     held = m.where("item_id % 5 = 0")
     free = m.join(held.select("item_id"), "item_id", "left_anti").join(held.select("n").distinct(), "n", "left_anti")
-    return free.groupBy("n").agg(F.min("item_id").alias("item_id"), N.alias("copies")).select("item_id", "copies")
+    return free.groupBy("n").agg(F.min("item_id").alias("item_id"), count_rows().alias("copies")).select("item_id", "copies")
 
 
 @query(f"""WITH {DOCS_SQL}, b AS (SELECT d.lang, tok.term, count(*) AS f FROM tok JOIN documents d ON d.doc_id = tok.doc_id GROUP BY d.lang, tok.term), i AS (SELECT term, ln(1 + (4 - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM b GROUP BY term)
@@ -160,9 +160,9 @@ SELECT lang, term, f, round(idf * (1 + ln(f)), 6) AS score, CAST(row_number() OV
 def discriminative_terms(t: Tables) -> DataFrame:
     """The twenty terms that mark each group out: idf over groups times one plus the log of the count."""
     docs = documents(t)
-    bag = docs.select("lang", F.explode("tokens").alias("term")).groupBy("lang", "term").agg(N.alias("f"))
+    bag = docs.select("lang", F.explode("tokens").alias("term")).groupBy("lang", "term").agg(count_rows().alias("f"))
     groups = docs.agg(F.countDistinct("lang").alias("n"))
-    idf = bag.groupBy("term").agg(N.alias("df")).crossJoin(F.broadcast(groups)).select("term", index.idf(F.col("n"), F.col("df")).alias("idf"))  # one row
+    idf = bag.groupBy("term").agg(count_rows().alias("df")).crossJoin(F.broadcast(groups)).select("term", index.idf(F.col("n"), F.col("df")).alias("idf"))  # one row
     scored = bag.join(idf, "term").withColumn("score", F.round(F.col("idf") * (1 + F.log("f")), 6))
     w = Window.partitionBy("lang").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("lang", "term", "f", "score", "rank")
@@ -173,9 +173,9 @@ SELECT owner, term, round(idf * sqrt(n * 1.0 / slots), 6) AS w FROM c JOIN o USI
 def slot_weights(t: Tables) -> DataFrame:
     """Term weights of owners with several phrases: idf times the root of the share of phrases with the term."""
     s = t.conversations.select(F.col("conv_id").alias("owner"), "turn", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).distinct()
-    c = s.groupBy("owner", "term").agg(N.alias("n"))
+    c = s.groupBy("owner", "term").agg(count_rows().alias("n"))
     slots = t.conversations.groupBy(F.col("conv_id").alias("owner")).agg(F.countDistinct("turn").alias("slots"))
-    idf = c.groupBy("term").agg(N.alias("df")).crossJoin(F.broadcast(slots.agg(N.alias("owners")))).select("term", index.idf(F.col("owners"), F.col("df")).alias("idf"))  # one row
+    idf = c.groupBy("term").agg(count_rows().alias("df")).crossJoin(F.broadcast(slots.agg(count_rows().alias("owners")))).select("term", index.idf(F.col("owners"), F.col("df")).alias("idf"))  # one row
     return c.join(slots, "owner").join(idf, "term").select("owner", "term", F.round(F.col("idf") * F.sqrt(F.col("n") / F.col("slots")), 6).alias("w"))
 
 
