@@ -19,8 +19,12 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import staged, table
 
@@ -68,15 +72,30 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone = gone.groupBy("doc", "hash").agg(F.collect_set("i").alias("gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct(*kept).alias("row"))
-    both = keyed.alias("a").join(gone.alias("b"), F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.hash") == F.col("b.hash")), "left").select("row", "gone")
-    lines = F.split(F.col("row.text").cast("string"), "\n")
-    full = F.filter(F.transform(lines, lambda x, p: F.when(~x.rlike(BLANK), p)), lambda p: p.isNotNull())
-    at = F.transform("gone", lambda i: F.get(F.col("full"), i))
-    marked = both.withColumn("full", full).withColumn("at", at)
-    text = F.when(F.col("at").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(lines, lambda x, p: ~F.array_contains(F.col("at"), p)), "\n"))
-    n_lines = F.coalesce(F.size("full"), F.lit(0)).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept]
-    return marked.select(*columns, F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.greatest(F.coalesce(F.size("at"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    both = keyed.alias("a").join(gone.alias("b"), F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.hash") == F.col("b.hash")), "left")
+    rows = both.select(*(F.col("a.row")[c].cast("string").alias(c) if c == "text" else F.col("a.row")[c].alias(c) for c in kept), F.col("b.gone").alias("_gone"))
+    schema = T.StructType([f for f in rows.schema if f.name != "_gone"] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return rows.mapInArrow(_without(kept), schema)
+
+
+def _without(columns: list[str]):
+    """mapInArrow over columns and _gone: the text without those of its lines, counted without blank ones."""
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, sizes, removed = [], [], []
+            for text, gone in zip(b.column(at).cast(pa.large_binary()), b.column(len(columns))):
+                lines = text.as_py().split(b"\n") if text.is_valid else []
+                full = [p for p, x in enumerate(lines) if x and not x.isspace()]
+                out = {full[i] for i in gone.as_py()} if gone.is_valid else set()
+                texts.append(b"\n".join(x for p, x in enumerate(lines) if p not in out) if text.is_valid else None)
+                sizes.append(len(full))
+                removed.append(len(out))
+            arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(len(columns))]
+            yield pa.record_batch([*arrays, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
+
+    return run
 
 
 def runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
