@@ -275,13 +275,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Windows of 35 words, counted over all documents; a word goes if a window over it has a count above one.
 OP7_SQL = r"""
-WITH w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT rid, unnest(range(1, len(ws) - 33)) AS p, ws FROM w WHERE len(ws) >= 35),
-h AS (SELECT rid, p, md5_number(array_to_string(ws[p:p + 34], ' ')) AS k FROM s),
+h AS (SELECT rid, p, md5(array_to_string(ws[p:p + 34], ' ')) AS k FROM s),
 many AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
-gone AS (SELECT DISTINCT rid, p + unnest(range(0, 35)) AS q FROM h SEMI JOIN many USING (k)),
-g AS (SELECT rid, list(q) AS qs, count(*) AS n FROM gone GROUP BY rid)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), z -> NOT list_contains(qs, z[2])), z -> z[1]) END, ' ')) AS kept_sha256
-FROM w LEFT JOIN g USING (rid)
+gone AS (SELECT DISTINCT rid, p + unnest(range(0, 35)) AS q FROM h WHERE k IN (SELECT k FROM many)),
+word AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS q FROM w),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY q) AS text, count(*) AS n FROM word WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = word.rid AND gone.q = word.q) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
 """
