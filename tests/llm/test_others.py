@@ -116,9 +116,9 @@ def test_risk_is_controlled(spark):
     bad = [(10_000 + i, cases.prose(60, i).replace(" ", " *** "), "en") for i in range(60)]
     docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(2000)] + [(10_000 + i, 0) for i in range(30)] + [(None, 1), (1, None)], "doc_id long, quality int")
-    out = quality.judge(docs, labels)
+    out = quality.judge(docs, labels, risk=0.05)
     fresh = out.where("doc_id between 2000 and 9999")
-    assert fresh.where("not kept").count() <= 0.02 * fresh.count()
+    assert fresh.where("not kept").count() <= 0.06 * fresh.count()
     assert out.where("doc_id >= 10000 and kept").count() == 0
 
 
@@ -126,7 +126,7 @@ def test_quality_rows(docs, clashing, empty):
     labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int")
     out = quality.judge(clashing, labels)
     assert out.count() == docs.count() and out.where("doc_id = 4 and n_words = 0 and base_failed and not kept").count() == 1
-    assert out.where("kept != not base_failed").count() == 0
+    assert out.where("kept = base_failed").count() == 0
     assert quality.judge(empty, labels).count() == 0
 
 
