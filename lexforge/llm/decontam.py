@@ -45,7 +45,7 @@ LEAST = 6
 COSINE = 0.35
 COPIED, REWORDED, ANSWERED = 0.7, 0.5, 0.8
 EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words taken together in one batch of matrix work.
 CHUNK = 200_000
 
@@ -297,7 +297,7 @@ def _search(shared):
         rows, size = [], 0
         for b in batches:
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-                if len(codes) > REMEMBERED or not codes:
+                if len(known) > REMEMBERED or not codes:
                     if rows:
                         yield batch(rows)
                         rows, size = [], 0

@@ -34,7 +34,7 @@ END_ID = 1
 #: Partitions whose open windows one task merges.
 FAN_IN = 64
 #: Chunks whose ids a worker remembers, about 0.2 kB each; twice as many while an older set is kept.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _MEMO: dict[str, ChunkTokenizer] = {}
 
 
