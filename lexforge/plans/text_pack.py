@@ -147,7 +147,7 @@ def direct_matches(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", exact.alias("exact_kind"), *(T.direct_match(F.lit(q), x).alias(f"{q}_kind") for q in ("blue", "bolt", "olt")))
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&copy;', '©', 'g'), '&middot;', '·', 'g'), '&amp;', '&', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g'))) AS text,
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g'))) AS text,
 len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS n_links FROM pages""")
 def page_texts(t: Tables) -> DataFrame:
     """Mark-up off: references decoded (pandas), tags and white space collapsed; and the anchors counted."""
