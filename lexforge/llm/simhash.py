@@ -87,6 +87,23 @@ def _link_run(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def _forest(ab: np.ndarray) -> np.ndarray:
+    """Of edges, those that connect what the ones before them don't: fewer than there are nodes."""
+    parent: dict[int, int] = {}
+    keep = []
+    for i, (a, b) in enumerate(ab.tolist()):
+        while (p := parent.get(a, a)) != a:
+            parent[a] = parent.get(p, p)
+            a = p
+        while (p := parent.get(b, b)) != b:
+            parent[b] = parent.get(p, p)
+            b = p
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(i)
+    return ab[keep]
+
+
 def _edges(radius: int):
     """mapInArrow over rows (key, fp) sorted by key: verified edges between what meets under a key."""
 
@@ -109,6 +126,7 @@ def _edges(radius: int):
         pairs = [p for p in found(key, fp) if len(p[0])]
         if pairs:
             ab = np.unique(np.sort(np.stack([np.concatenate([p[i] for p in pairs]) for i in (0, 1)], axis=1), axis=1), axis=0)
+            ab = _forest(ab)
             yield pa.record_batch([pa.array(ab[:, i].copy().view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
