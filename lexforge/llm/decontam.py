@@ -9,6 +9,8 @@
 3. Every document is scanned whole in windows of `WINDOW` words, `STRIDE` apart. A window goes on if the
    benchmark's features hold enough of its weight for the cosine to be reached at all, is folded into the
    latent space, and meets all passages of a block of items; pairs of cosine >= `COSINE` are candidates.
+   Passages of which `RANK` directions hold less than `HELD` of the norm (a block may have more passages
+   than directions) meet every window by their exact TF-IDF cosine too, over postings of all their words.
 4. A candidate is a leak if, in some stretch of the text as long as the item, the longest common
    subsequence of words holds `COPIED` of the item, or `REWORDED` of it and the answer (the item's last
    sentence) too. Near copies and reworded copies keep the order of most words; texts on like topics don't.
@@ -39,6 +41,7 @@ from ._common import n_partitions, staged, table
 BUCKETS = 1 << 18
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE, ROUNDS = 256, 8, 3
+HELD = 0.999
 FEATURES = 1 << 17
 BLOCK = 10_000
 LEAST = 6
@@ -184,6 +187,52 @@ def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
     return features, q
 
 
+class Postings:
+    """Unit TF-IDF passages by word, for exact cosines with windows."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, weight: np.ndarray, columns: np.ndarray, n_features: int):
+        """Of the passages (row, place, weight), those numbered in `columns`."""
+        self.columns = columns
+        ours = np.isin(row, columns)
+        order = np.argsort(place[ours], kind="stable")
+        self.passage = np.searchsorted(columns, row[ours][order])
+        self.weight = weight[ours][order].astype(np.float32)
+        self.first = np.searchsorted(place[ours][order], np.arange(n_features + 1))
+        self.most = np.zeros(n_features + 1, dtype=np.float32)  # the last for words that no passage has
+        np.maximum.at(self.most, place[ours][order], self.weight)
+
+    def products(self, place: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """(windows, passages): products of windows, given by the places and weights of their words."""
+        r, c = np.nonzero(weight)
+        f = place[r, c]
+        size = self.first[f + 1] - self.first[f]
+        at = np.repeat(self.first[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(r, size) * len(self.columns) + self.passage[at]
+        return np.bincount(cell, np.repeat(weight[r, c], size) * self.weight[at], len(place) * len(self.columns)).reshape(len(place), -1)
+
+    def lift(self, cosine: np.ndarray, place: np.ndarray, weight: np.ndarray, norm: np.ndarray) -> None:
+        """Raises the cosines (windows, all passages) of these passages to the exact ones that reach COSINE.
+
+        Words that together can't bring any passage to COSINE open no posting: a pair that reaches it shares one of the others.
+        """
+        need = COSINE * (1 - 1e-5) * norm
+        bound = weight * self.most[place]
+        able = np.flatnonzero(bound.sum(axis=1) >= need)
+        for lo in range(0, len(able), step := max(1, (1 << 21) // len(self.columns))):
+            r = able[lo : lo + step]
+            order = np.argsort(bound[r], axis=1)
+            rising = np.cumsum(np.take_along_axis(bound[r], order, axis=1), axis=1)
+            skip = np.zeros(rising.shape, dtype=bool)
+            np.put_along_axis(skip, order, rising < need[r, None], axis=1)
+            part = self.products(place[r], np.where(skip, 0, weight[r]))
+            rest = (bound[r] * skip).sum(axis=1)
+            r = r[(part >= (need[r] - rest)[:, None]).any(axis=1)]
+            if len(r):
+                full = self.products(place[r], weight[r]) / norm[r, None]
+                cell = np.ix_(r, self.columns)
+                cosine[cell] = np.maximum(cosine[cell], np.where(full >= COSINE, full, -1))
+
+
 def lcs(a: list[bytes], b: list[bytes]) -> int:
     """Length of a longest common subsequence, by bit-parallel rows."""
     where: dict[bytes, int] = {}
@@ -220,7 +269,7 @@ def judge(item: list[bytes], reply: list[bytes], text: list[bytes], at: int) ->
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, idf, v, owners, latent, items = shared.value
+        features, idf, v, folds, owners, latent, exact, items = shared.value
         unit = np.float32(COSINE)
         places = {h: i for i, h in enumerate(features.view(np.uint64).tolist())}
         weigh = idf.tolist()
@@ -268,11 +317,15 @@ def _search(shared):
                 s = start[lo : lo + 2048]
                 cells = s[:, None] + np.arange(WINDOW)
                 p, w = place[cells], np.where(place[cells] >= 0, weight[cells], 0)
+                inner = folds[p]
+                held = np.where(inner >= 0, w, 0)
                 folded = np.zeros((len(s), v.shape[1]), dtype=np.float32)
                 for c in range(WINDOW):
-                    folded += v[np.maximum(p[:, c], 0)] * w[:, c, None]
+                    folded += v[np.maximum(inner[:, c], 0)] * held[:, c, None]
                 norm = np.sqrt(total[s + WINDOW] - total[s])
                 cos = (folded / norm[:, None].astype(np.float32)) @ latent.T
+                if len(exact.columns):
+                    exact.lift(cos, p, w, norm)
                 for r, c in zip(*np.nonzero(cos >= unit)):
                     found.setdefault((int(owner[lo + r]), int(owners[c])), []).append((float(cos[r, c]), int(s[r])))
             out = []
@@ -280,14 +333,14 @@ def _search(shared):
                 doc_id, _, text = rows[k]
                 words = tokens(text)
                 item_id, item, reply = items[i]
-                best = (0.0, False, 0.0)
+                best = (False, 0.0, False)
                 for cos, s in sorted(hits, reverse=True):
                     share, has = judge(item, reply, words, s - offsets[k])
-                    best = max(best, (share, has, cos))
+                    best = max(best, (share >= COPIED or share >= REWORDED and has, share, has))  # a leak before a larger share without the answer
                     if share >= COPIED:
                         break
-                if best[0] >= COPIED or best[0] >= REWORDED and best[1]:
-                    out.append((doc_id, item_id, max(c for c, _ in hits), best[0], best[1]))
+                if best[0]:
+                    out.append((doc_id, item_id, max(c for c, _ in hits), best[1], best[2]))
             return out
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -339,11 +392,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, rank: int = RANK) -> DataFrame
             for p in cut(w):
                 place.setdefault((item_id, tuple(np.array([word_hash(x) for x in p], dtype=np.uint64).view(np.int64).tolist())), []).append(i)
         pairs = [(i, np.array(r["words"], dtype=np.int64)) for r in cut_rows for i in place[(r["item_id"], tuple(r["words"]))]]
-        row, at, weight = _vectors([w for _, w in pairs], features, idf)
+        every = np.unique(np.concatenate([w for _, w in pairs]))
+        folds = np.full(len(every) + 1, -1)  # by place among all words: place in the basis; the last for words that no passage has
+        folds[np.searchsorted(every, features)] = np.arange(len(features))
+        row, at, weight = _vectors([w for _, w in pairs], every, idf)
         latent = np.zeros((len(pairs), v.shape[1]), dtype=np.float32)
-        np.add.at(latent, row, weight[:, None].astype(np.float32) * v[at])
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        shared = spark.sparkContext.broadcast((features, idf, v, np.array([i for i, _ in pairs]), latent, texts_of))
+        inside = folds[at] >= 0
+        np.add.at(latent, row[inside], weight[inside, None].astype(np.float32) * v[folds[at[inside]]])
+        held = np.linalg.norm(latent, axis=1)
+        latent /= np.maximum(held, 1e-9)[:, None]
+        exact = Postings(row, at, weight, np.flatnonzero(held < HELD), len(every))
+        shared = spark.sparkContext.broadcast((every, idf, v, folds, np.array([i for i, _ in pairs]), latent, exact, texts_of))
         part = texts.mapInArrow(_search(shared), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else spark.createDataFrame([], schema)

@@ -156,6 +156,28 @@ def test_leaks(spark, clashing, empty):
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_more_passages_than_directions(spark):
+    """Copies of every item are found where the rank is far below the number of passages; exact cosines are those of all words."""
+    items = [(i, " ".join(f"w{x}" for x in np.random.default_rng(i).integers(0, 900, 40))) for i in range(60)]
+    docs = spark.createDataFrame([(i, cases.prose(50, i) + " " + t + " " + cases.prose(60, 100 + i)) for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench, rank=4).collect()} == {(i, i) for i, _ in items}
+    rng = np.random.default_rng(1)
+    a = rng.random((30, 80)) * (rng.random((30, 80)) < 0.2)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    row, place = np.nonzero(a)
+    columns = np.arange(0, 30, 2)
+    words = rng.integers(-1, 80, (200, decontam.WINDOW))
+    weights = np.where(words >= 0, rng.random(words.shape), 0)
+    norm = np.sqrt((weights**2).sum(axis=1))
+    want = np.einsum("nw,pnw->np", weights, a[:, words]) / norm[:, None]
+    got = np.zeros((200, 30))
+    decontam.Postings(row, place, a[row, place], columns, 80).lift(got, words, weights, norm)
+    ours = np.where(want >= decontam.COSINE, want, 0)
+    ours[:, 1::2] = 0
+    assert ours.any() and np.allclose(got, ours, atol=1e-5)
+
+
 def test_basis_equals_svd(spark):
     words = [[int(x) for x in np.random.default_rng(i).integers(0, 60, 20)] for i in range(30)]
     rows = spark.createDataFrame([(w,) for w in words], "words array<long>").repartition(3)
