@@ -4,11 +4,12 @@ Pages are dealt out by ranges of (host, path, url, page_id) and sorted, so a pag
 pages of nearest path on its host; a host of any size spreads over many tasks, and a task holds three
 pages at a time. A page and its nearest neighbour (longest common path beginning, the one before at ties)
 are cut into text lines, one a block; the lines are aligned by longest common subsequence, and shared
-lines are the site's template: they are deleted. Two exceptions keep article text that two pages share:
-lines inside <article> or <main> are deleted by their own mark-up only, and a neighbour with the very same
-lines is no witness. A second check deletes what mark-up names as no main text even where no neighbour
-shares it: nav, header, footer, aside, form and the like, and elements whose class, id or role says menu,
-advert, notice, sidebar, comments and so on.
+lines are the site's template: they are deleted, and lines that no neighbour shares stay, inside an article
+or beside it. Two exceptions keep article text that two pages share: lines inside <article> or <main> are
+deleted by their own mark-up only, and a neighbour with the very same lines is no witness. A second check
+deletes what mark-up names as no main text even where no neighbour shares it: nav, header, footer, aside,
+form and the like, and elements whose class, id or role says menu, advert, notice, sidebar, comments and so
+on. Only where no neighbour is a witness (a host of one page), the mark-up of an article decides alone.
 
 At the edge of a task's range a page has one neighbour only; which pages are paired there depends on the
 ranges, but not which page's article lines stay.
@@ -148,9 +149,10 @@ def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bo
     """The lines of a page that stay, and how many the neighbour shares."""
     mine = [x[0] for x in own]
     theirs = [x[0] for x in other or ()]
-    shared = common(mine, theirs) if theirs and theirs != mine else set()
+    witness = bool(theirs) and theirs != mine
+    shared = common(mine, theirs) if witness else set()
     has_article = any(a and not t for _, a, t in own)
-    kept = [line for i, (line, article, template) in enumerate(own) if not template and (article or (i not in shared and not has_article))]
+    kept = [line for i, (line, article, template) in enumerate(own) if not template and (article or (i not in shared if witness else not has_article))]
     return "\n".join(kept), len(shared)
 
 

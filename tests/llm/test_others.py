@@ -88,6 +88,12 @@ def test_common():
         assert len(html.common(list(a), list(b))) == n
 
 
+def test_neighbour_decides_beside_an_article():
+    page = "<body><p>Site</p><article><p>{0}</p></article><div>{1}</div><p>Rights</p>"
+    own, other = (html.lines_of(page.format(*x)) for x in (("story", "its second part"), ("other", "its own part")))
+    assert html.main_text(own, other) == ("story\nits second part", 2)
+
+
 def test_differencing(spark):
     frame = "<body><p>Site name</p><p>Menu</p><p>{0}</p><p>All rights</p></body>"
     pages = [(1, "http://h/a/1", frame.format("first story")), (2, "http://h/a/2", frame.format("second story")), (3, "http://other/a", frame.format("third")), (4, None, None), (5, "http://h/z", ""), (1, "http://h/a/1", frame.format("first story"))]
