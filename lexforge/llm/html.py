@@ -8,8 +8,9 @@ lines are the site's template: they are deleted, and lines that no neighbour sha
 or beside it. Two exceptions keep article text that two pages share: lines inside <article> or <main> are
 deleted by their own mark-up only, and a neighbour with the very same lines is no witness. A second check
 deletes what mark-up names as no main text even where no neighbour shares it: nav, header, footer, aside,
-form and the like, and elements whose class, id or role says menu, advert, notice, sidebar, comments and so
-on. Only where no neighbour is a witness (a host of one page), the mark-up of an article decides alone.
+form and the like, elements with the attribute hidden, and elements of which a whole class, id, role or
+aria-label is made up of words like menu, advert, notice, sidebar or comments; html, body, main and article
+go by hidden only, whatever they are called. Only where no neighbour is a witness (a host of one page), the mark-up of an article decides alone.
 
 At the edge of a task's range a page has one neighbour only; which pages are paired there depends on the
 ranges, but not which page's article lines stay.
@@ -41,10 +42,11 @@ TOKEN = re.compile(
     r"|<(/?)([a-z][a-z0-9-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+WORD = re.compile(r"[^\W\d_]+")
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = {"hr", "br", "img", "input", "meta", "link", "wbr", "col", "source", "area", "base", "embed", "param", "track"}
+WHOLE = {"html", "body", "main", "article"}
 TEMPLATE = set("nav header footer aside form menu dialog button fieldset head".split())
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer"
@@ -53,13 +55,16 @@ NAMED = set(
 )
 
 
-def named(attributes: str) -> bool:
-    """Whether class, id or role name something other than main text."""
+def named(attributes: str, tag: str = "") -> bool:
+    """Whether the element is hidden, or a whole class, id, role or label names something other than main text."""
     for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() == "hidden":
-            return True
-        if NAMED & {w.lower() for w in WORD.findall(m[2] or m[3] or m[4] or "")}:
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden":
             return True
+        if name in ("class", "id", "role", "aria-label") and tag not in WHOLE:
+            for token in [value] if name == "aria-label" else value.split():
+                if (words := WORD.findall(token)) and NAMED.issuperset(words):
+                    return True
     return False
 
 
@@ -102,7 +107,7 @@ def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
                     break
             continue
         attributes = m[4]
-        marked = bool(attributes) and named(attributes)
+        marked = bool(attributes) and named(attributes, tag)
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
             _, article, template = stack[-1] if stack else ("", False, False)

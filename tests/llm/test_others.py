@@ -83,6 +83,17 @@ def test_lines_of():
     assert [x[0] for x in html.lines_of("plain &lt;text&gt; <")] == ["plain <text> <"]
 
 
+def test_only_whole_names_are_template():
+    kept = ['style="overflow:hidden"', 'aria-hidden="false"', 'data-id="ad"', 'class="has-sidebar"', 'class="content no-ads"', 'class="social-science"', 'class="article-header"', 'id=tags-page', 'title="hidden"', 'aria-label="Comments on the law"']
+    gone = ["hidden", 'class="x ad"', "class='cookie-notice'", "id=ad_2", 'role="navigation"', 'aria-label="Related"', 'CLASS="Sidebar"']
+    for a in kept + gone:
+        page = f"<main><p>first</p><div {a}><p>second</p></div></main>"
+        assert html.main_text(html.lines_of(page), None)[0] == ("first\nsecond" if a in kept else "first"), a
+    for tag in ("body", "main", "article"):
+        lines = html.lines_of(f"<{tag} class='search'><p>text</p></{tag}>")
+        assert html.main_text(lines, None)[0] == "text" and not html.lines_of(f"<{tag} hidden><p>text</p></{tag}>")[0][1]
+
+
 def test_common():
     for a, b, n in (("abcde", "xbyd", 2), ("", "abc", 0), ("aaaa", "aa", 2), ("abcabc", "cabcab", 5)):
         assert len(html.common(list(a), list(b))) == n
