@@ -81,6 +81,14 @@ def test_passive_aggressive_separates(spark):
     assert w["x", "fx"] > w.get(("y", "fx"), 0) and w["y", "fy"] > w.get(("x", "fy"), 0)
 
 
+def test_online_training_takes_all_turns(spark, sf_dir):
+    from lexforge.plans import all as _all  # noqa: F401
+    from lexforge.plans import registry
+
+    roles = {r.role for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").where("length(trim(text)) > 0").select("role").distinct().collect()}
+    assert "assistant" in roles and {r.cls for r in registry.QUERIES["online_training"](spark, sf_dir).select("cls").distinct().collect()} == roles
+
+
 def test_logistic_matches_numpy(spark):
     import numpy as np
 
