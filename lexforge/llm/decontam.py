@@ -15,20 +15,24 @@
    subsequence of words holds `COPIED` of the item, or `REWORDED` of it and the answer (the item's last
    sentence) too. Near copies and reworded copies keep the order of most words; texts on like topics don't.
 
-Items are a query set: taken in blocks of `BLOCK` items, each against all documents.
+Items are a query set: the SVD is of a block of at most `BLOCK` items, and up to `BLOCKS_A_PASS` blocks are
+searched in one pass over the documents. Items shorter than `LEAST` words say too little for a cosine; they
+are leaks where the run of their words stands in a text as it is.
 
 Words: A-Z lower-cased, punctuation at the ends off.
 
 Defined results
 - null, empty or blank text or item: no words, no leak; null doc_id or item_id: kept as they are;
-- items shorter than `LEAST` words: only an exact run of their words would tell, and any text may hold
-  it by chance: not searched; repeated rows and items: a row for each pair;
+- items shorter than `LEAST` words: exact runs only (cosine and share 1, answer found); repeated rows and
+  items: a row for each pair;
 - no documents or no items: no rows; further columns are not read (clean returns them as they are).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +48,14 @@ RANK, OVERSAMPLE, ROUNDS = 256, 8, 3
 HELD = 0.999
 FEATURES = 1 << 17
 BLOCK = 10_000
+BLOCKS_A_PASS = 8
 LEAST = 6
 COSINE = 0.35
 COPIED, REWORDED, ANSWERED = 0.7, 0.5, 0.8
 EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
-REMEMBERED = 200_000
+REMEMBERED = 250_000
+#: Multiplier of the keys of short runs.
+RUN_BASE = 0x9E3779B97F4A7C15
 #: Words taken together in one batch of matrix work.
 CHUNK = 200_000
 
@@ -61,26 +68,32 @@ def word_hash(core: bytes) -> int:
     return xxhash.xxh64_intdigest(core)
 
 
+#: What a chunk without a word hashes to once its punctuation is off.
+NO_WORD = np.uint64(xxhash.xxh64_intdigest(b""))
+
+
+def hashed(chunks: Iterable[bytes]) -> np.ndarray:
+    """Word hash of every lower-cased chunk; NO_WORD for those of punctuation only."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(bytes.strip, chunks, repeat(EDGE))), dtype=np.uint64)
+
+
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequency by bucket, and the number of documents; at most BUCKETS + 1 rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, known = np.zeros(BUCKETS, dtype=np.int64), 0, {}
+        df, n, known = np.zeros(BUCKETS + 1, dtype=np.int64), 0, {}
         for b in batches:
             for t in b.column(0).cast(pa.large_binary()):
-                found = set()
-                for w in set((t.as_py() or b"").lower().split()):
-                    h = known.get(w)
-                    if h is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        core = w.strip(EDGE)
-                        h = known[w] = word_hash(core) % BUCKETS if core else -1
-                    found.add(h)
-                found.discard(-1)
-                df[list(found)] += 1
                 n += 1
-        at = np.flatnonzero(df)
+                chunks = set((t.as_py() or b"").lower().split())
+                if new := chunks.difference(known):
+                    if len(known) + len(new) > REMEMBERED:
+                        known.clear()
+                        new = chunks
+                    h = hashed(new)
+                    known.update(zip(new, np.where(h == NO_WORD, BUCKETS, h % np.uint64(BUCKETS)).tolist()))
+                df[list(set(map(known.__getitem__, chunks)))] += 1
+        at = np.flatnonzero(df[:BUCKETS])
         yield pa.record_batch([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[df[at], n])], names=["bucket", "df"])
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
@@ -267,98 +280,161 @@ def judge(item: list[bytes], reply: list[bytes], text: list[bytes], at: int) ->
     return best, found
 
 
+@dataclass
+class Block:
+    """A block of items, ready to meet windows. Words go by their place in the pass's vocabulary, -1 for others."""
+
+    folds: np.ndarray  # word -> row of the basis, or -1
+    v: np.ndarray
+    latent: np.ndarray  # passages by direction
+    owners: np.ndarray  # passage -> number among items
+    exact: Postings
+    items: list[tuple]  # (item_id, words, answer)
+
+    @classmethod
+    def of(cls, items: list[tuple], features: np.ndarray, v: np.ndarray, every: np.ndarray, idf: np.ndarray) -> Block:
+        cuts = [(i, hashes(p)) for i, (_, words, _) in enumerate(items) for p in cut(words)]
+        row, at, weight = _vectors([w for _, w in cuts], every, idf)
+        folds = np.full(len(every) + 1, -1)
+        folds[np.searchsorted(every, features)] = np.arange(len(features))
+        latent = np.zeros((len(cuts), v.shape[1]), dtype=np.float32)
+        inside = folds[at] >= 0
+        np.add.at(latent, row[inside], weight[inside, None].astype(np.float32) * v[folds[at[inside]]])
+        held = np.linalg.norm(latent, axis=1)
+        latent /= np.maximum(held, 1e-9)[:, None]
+        return cls(folds, v, latent, np.array([i for i, _ in cuts]), Postings(row, at, weight, np.flatnonzero(held < HELD), len(every)), items)
+
+    def near(self, place: np.ndarray, weight: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, number of the item, cosine) of the pairs that reach COSINE."""
+        inner = self.folds[place]
+        held = np.where(inner >= 0, weight, 0)
+        folded = np.zeros((len(place), self.v.shape[1]), dtype=np.float32)
+        for c in range(WINDOW):
+            folded += self.v[np.maximum(inner[:, c], 0)] * held[:, c, None]
+        cos = (folded / norm[:, None].astype(np.float32)) @ self.latent.T
+        if len(self.exact.columns):
+            self.exact.lift(cos, place, weight, norm)
+        r, c = np.nonzero(cos >= np.float32(COSINE))
+        return r, self.owners[c], cos[r, c]
+
+
+class Runs:
+    """Items shorter than LEAST words, found where the run of their words stands as it is."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        """Of (item_id, places of its words)."""
+        self.by_size: dict[int, tuple[np.ndarray, list]] = {}
+        for n in {len(w) for _, w in items}:
+            same = [(i, w) for i, w in items if len(w) == n]
+            keys = self.keys(np.array([w for _, w in same]))
+            order = np.argsort(keys, kind="stable")
+            self.by_size[n] = keys[order], [same[o] for o in order]
+
+    @staticmethod
+    def keys(runs: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(runs), dtype=np.uint64)
+        for c in range(runs.shape[1]):
+            out = (out + (runs[:, c].astype(np.int64) + 1).view(np.uint64)) * np.uint64(RUN_BASE)
+        return out
+
+    def of(self, place: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(number of a word, item_id) of every occurrence among the places of many texts, set apart by words of place -1."""
+        for n, (keys, items) in self.by_size.items():
+            if len(place) < n:
+                continue
+            able = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(place, n).min(axis=1) >= 0)
+            runs = place[able[:, None] + np.arange(n)]
+            mine = self.keys(runs)
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            for i in np.flatnonzero(high > low):
+                for item_id, words in items[low[i] : high[i]]:
+                    if np.array_equal(words, runs[i]):
+                        yield int(able[i]), item_id
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([word_hash(w) for w in words], dtype=np.uint64).view(np.int64)
+
+
+LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_ratio", pa.float64()), ("answer_found", pa.bool_())])
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, idf, v, folds, owners, latent, exact, items = shared.value
-        unit = np.float32(COSINE)
-        places = {h: i for i, h in enumerate(features.view(np.uint64).tolist())}
-        weigh = idf.tolist()
-        known: dict[bytes, int] = {}
-        codes: list[int] = []  # by word number: place among features, or -1
-        weights: list[float] = []
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_ratio", pa.float64()), ("answer_found", pa.bool_())])
-
-        def numbered(chunks: list[bytes]) -> list[int]:
-            """A number for every chunk: equal words have one; 0 for chunks without a word."""
-            for chunk in set(chunks).difference(known):
-                core = chunk.strip(EDGE)
-                n = known.get(core) if core else 0
-                if n is None:
-                    h = word_hash(core)
-                    n = known[core] = len(codes)
-                    codes.append(places.get(h, -1))
-                    weights.append(weigh[h % BUCKETS])
-                known[chunk] = n
-            return [n for n in map(known.__getitem__, chunks) if n]
+        every, idf, blocks, short = shared.value
+        places = {h: i + 1 for i, h in enumerate(every.view(np.uint64).tolist())}
+        weigh = np.r_[idf, np.float32(0)]  # the last for the padding between texts
+        shift, pad = np.int64(BUCKETS.bit_length()), np.full(WINDOW, BUCKETS, dtype=np.int64)
+        low_bits = np.int64((1 << BUCKETS.bit_length()) - 1)
+        known: dict[bytes, int] = {}  # chunk -> (place + 1) << shift | bucket; -1 without a word
+
+        def coded(chunks: list[bytes]) -> np.ndarray:
+            if new := set(chunks).difference(known):
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    new = set(chunks)
+                h = hashed(new)
+                place = np.fromiter(map(places.get, h.tolist(), repeat(0)), dtype=np.int64, count=len(h))
+                known.update(zip(new, np.where(h == NO_WORD, -1, place << shift | (h % np.uint64(BUCKETS)).astype(np.int64)).tolist()))
+            out = np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+            return out[out >= 0]
 
         def leaks(rows: list[tuple]) -> list[tuple]:
-            ids: list[int] = []
-            starts, owner, offsets = [], [], []
-            for k, (_, words, text) in enumerate(rows):
-                offsets.append(len(ids))
-                ids.extend(words)
-                s = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-                starts.append(s + offsets[-1])
+            parts, starts, owner, offsets, at = [], [], [], [], 0
+            for k, (_, words, _) in enumerate(rows):
+                parts += [words, pad]
+                s = np.arange(at, at + max(1, len(words) - WINDOW + STRIDE), STRIDE)
+                starts.append(s)
                 owner.append(np.full(len(s), k))
-                ids.extend([0] * WINDOW)
-            number = np.array(ids)
-            place = np.array(codes, dtype=np.int32)[number]
-            weight = np.array(weights, dtype=np.float32)[number]
+                offsets.append(at)
+                at += len(words) + WINDOW
+            code = np.concatenate(parts)
+            place, weight = (code >> shift) - 1, weigh[code & low_bits]
             start, owner = np.concatenate(starts), np.concatenate(owner)
             square = weight.astype(np.float64) ** 2
             total = np.r_[0, np.cumsum(square)]
             inside = np.r_[0, np.cumsum(np.where(place >= 0, square, 0))]
             all_, ours = (x[start + WINDOW] - x[start] for x in (total, inside))
-            go = ours >= unit * unit * np.maximum(all_, 1e-12)
+            go = ours >= COSINE * COSINE * np.maximum(all_, 1e-12)
             go &= ours > 0
             start, owner = start[go], owner[go]
-            found: dict[tuple[int, int], list[tuple[float, int]]] = {}
+            found: dict[tuple[int, int, int], list[tuple[float, int]]] = {}
             for lo in range(0, len(start), 2048):
                 s = start[lo : lo + 2048]
                 cells = s[:, None] + np.arange(WINDOW)
                 p, w = place[cells], np.where(place[cells] >= 0, weight[cells], 0)
-                inner = folds[p]
-                held = np.where(inner >= 0, w, 0)
-                folded = np.zeros((len(s), v.shape[1]), dtype=np.float32)
-                for c in range(WINDOW):
-                    folded += v[np.maximum(inner[:, c], 0)] * held[:, c, None]
                 norm = np.sqrt(total[s + WINDOW] - total[s])
-                cos = (folded / norm[:, None].astype(np.float32)) @ latent.T
-                if len(exact.columns):
-                    exact.lift(cos, p, w, norm)
-                for r, c in zip(*np.nonzero(cos >= unit)):
-                    found.setdefault((int(owner[lo + r]), int(owners[c])), []).append((float(cos[r, c]), int(s[r])))
-            out = []
-            for (k, i), hits in sorted(found.items()):
+                for n, block in enumerate(blocks):
+                    for r, i, cos in zip(*(x.tolist() for x in block.near(p, w, norm))):
+                        found.setdefault((int(owner[lo + r]), n, i), []).append((cos, int(s[r])))
+            out, texts = [], {}
+            for (k, n, i), hits in sorted(found.items()):
                 doc_id, _, text = rows[k]
-                words = tokens(text)
-                item_id, item, reply = items[i]
+                if k not in texts:
+                    texts = {k: tokens(text)}
+                item_id, item, reply = blocks[n].items[i]
                 best = (False, 0.0, False)
                 for cos, s in sorted(hits, reverse=True):
-                    share, has = judge(item, reply, words, s - offsets[k])
+                    share, has = judge(item, reply, texts[k], s - offsets[k])
                     best = max(best, (share >= COPIED or share >= REWORDED and has, share, has))  # a leak before a larger share without the answer
                     if share >= COPIED:
                         break
                 if best[0]:
                     out.append((doc_id, item_id, max(c for c, _ in hits), best[1], best[2]))
+            exact = {(int(np.searchsorted(offsets, word, "right")) - 1, item_id) for word, item_id in short.of(place)}
+            out += [(rows[k][0], item_id, 1.0, 1.0, True) for k, item_id in sorted(exact, key=lambda x: (x[0], x[1] is None, x[1] or 0))]
             return out
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*leaks(rows))) or [()] * 5
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, LEAK)], schema=LEAK)
 
         rows, size = [], 0
         for b in batches:
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
-                if len(known) > REMEMBERED or not codes:
-                    if rows:
-                        yield batch(rows)
-                        rows, size = [], 0
-                    known.clear()
-                    codes[:], weights[:] = [-1], [0.0]  # number 0 pads
                 text = t.as_py() or b""
-                words = numbered(text.lower().split())
-                if not words:
+                words = coded(text.lower().split())
+                if not len(words):
                     continue
                 rows.append((doc_id, words, text))
                 size += len(words)
@@ -371,39 +447,30 @@ def _search(shared):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rank: int = RANK) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, rank: int = RANK, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_ratio, answer_found): a row for every leak of an item into a document."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_found boolean"
     df, n = frequencies(docs)
     idf = idf_of(df, n)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for k in range(blocks := max(1, -(-items.count() // BLOCK))):
-        block = items.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = staged(passages(block), "passages")
-        features, v = latent_basis(rows, idf, rank)
-        if not v.size:
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    found, n_blocks = None, max(1, -(-items.count() // block))
+    for first in range(0, n_blocks, BLOCKS_A_PASS):
+        parts, short = [], []
+        for k in range(first, min(n_blocks, first + BLOCKS_A_PASS)):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+            read = [(r["item_id"], w, answer(w, t)) for r in own.toArrow().to_pylist() if (w := tokens(t := (r["text"] or "").encode()))]
+            short += [(i, w) for i, w, _ in read if len(w) < LEAST]
+            if long := [x for x in read if len(x[1]) >= LEAST]:
+                parts.append((long, *latent_basis(staged(passages(own), "passages"), idf, rank)))
+        words = {w for long, _, _ in parts for _, x, _ in long for w in x} | {w for _, x in short for w in x}
+        if not words:
             continue
-        cut_rows = rows.select("item_id", "words", F.col("no")).toArrow().to_pylist()
-        texts_of = [(r["item_id"], w, answer(w, t)) for r in block.toArrow().to_pylist() if len(w := tokens(t := (r["text"] or "").encode())) >= LEAST]
-        place = {}
-        for i, (item_id, w, _) in enumerate(texts_of):
-            for p in cut(w):
-                place.setdefault((item_id, tuple(np.array([word_hash(x) for x in p], dtype=np.uint64).view(np.int64).tolist())), []).append(i)
-        pairs = [(i, np.array(r["words"], dtype=np.int64)) for r in cut_rows for i in place[(r["item_id"], tuple(r["words"]))]]
-        every = np.unique(np.concatenate([w for _, w in pairs]))
-        folds = np.full(len(every) + 1, -1)  # by place among all words: place in the basis; the last for words that no passage has
-        folds[np.searchsorted(every, features)] = np.arange(len(features))
-        row, at, weight = _vectors([w for _, w in pairs], every, idf)
-        latent = np.zeros((len(pairs), v.shape[1]), dtype=np.float32)
-        inside = folds[at] >= 0
-        np.add.at(latent, row[inside], weight[inside, None].astype(np.float32) * v[folds[at[inside]]])
-        held = np.linalg.norm(latent, axis=1)
-        latent /= np.maximum(held, 1e-9)[:, None]
-        exact = Postings(row, at, weight, np.flatnonzero(held < HELD), len(every))
-        shared = spark.sparkContext.broadcast((every, idf, v, folds, np.array([i for i, _ in pairs]), latent, exact, texts_of))
-        part = texts.mapInArrow(_search(shared), schema)
+        every = np.sort(hashes(list(words)))
+        blocks = [Block.of(long, features, v, every, idf) for long, features, v in parts]
+        runs = Runs([(i, np.searchsorted(every, hashes(w))) for i, w in short])
+        part = texts.mapInArrow(_search(spark.sparkContext.broadcast((every, idf, blocks, runs))), schema)
         found = part if found is None else found.union(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
