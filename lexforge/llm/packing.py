@@ -17,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -35,6 +36,8 @@ END_ID = 1
 FAN_IN = 64
 #: Chunks whose ids a worker remembers, about 0.2 kB each; twice as many while an older set is kept.
 REMEMBERED = 250_000
+#: A chunk of plain letters below U+0250 (in UTF-8; without U+0130, which lowers to two) and at most one mark after them.
+PLAIN = re.compile(rb"\n((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+[,.]?)(?=\n|\Z)")
 _MEMO: dict[str, ChunkTokenizer] = {}
 
 
@@ -57,6 +60,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.marks = {m: self.whole([m])[0] for m in (b",", b".")}
 
@@ -69,32 +73,30 @@ class ChunkTokenizer:
     def whole(self, chunks: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
-    def word(self, chunk: bytes) -> bytes | None:
-        """Ids of a chunk of plain letters and at most one mark after them; None for others."""
-        mark = chunk[-1:]
-        core = chunk[:-1] if mark in self.marks else chunk
-        text = core.decode()
-        if not text.isalpha() or not text.isascii() and (max(text) >= "\u0250" or "\u0130" in text):
-            return None
-        letters = text.lower().encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes() + (self.marks[mark] if mark in self.marks else b"")
+    def learn(self, new: set[bytes]) -> None:
+        """Remembers the ids of lower-cased chunks."""
+        tokenize, marks, letters = self.model.tokenize, self.marks, self.letters
+        plain = PLAIN.findall(b"\n" + b"\n".join(new))
+        for chunk in plain:
+            core = chunk.rstrip(b",.")
+            word = core.decode() if core.isascii() else core.decode().lower().encode().decode("latin-1").translate(letters)
+            ids = array("I", [t.id for t in tokenize(word)]).tobytes()
+            self.known[chunk] = ids if len(core) == len(chunk) else ids + marks[chunk[-1:]]
+        if odd := list(new.difference(plain)):
+            self.known.update(zip(odd, self.whole(odd)))
 
     def ids(self, text: bytes | None) -> bytes:
-        # A-Z may be lowered first: the tokenizer lowers them itself, but looks for its special tokens before
-        chunks = text.split() if b"<|" in (text or b"") else (text or b"").lower().split()
+        if b"<|" in (text or b""):  # the tokenizer looks for its special tokens before it lowers letters
+            return b"".join(self.whole(text.split()))
+        chunks = (text or b"").lower().split()
         if new := set(chunks).difference(self.known):
             if len(self.known) + len(new) > REMEMBERED:
                 self.older, self.known = self.known, {}
                 new = set(chunks)
-            known, odd = self.known, []
-            for c in new:
-                got = self.older.get(c) or self.word(c)
-                if got is None:
-                    odd.append(c)
-                else:
-                    known[c] = got
-            if odd:
-                known.update(zip(odd, self.whole(odd)))
+            unseen = new.difference(self.older)
+            seen = list(new.difference(unseen))
+            self.known.update(zip(seen, map(self.older.__getitem__, seen)))
+            self.learn(unseen)
         return b"".join(map(self.known.__getitem__, chunks))
 
 
