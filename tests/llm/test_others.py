@@ -78,7 +78,7 @@ ARTICLE = "<article><header><h1>T&amp;x</h1></header><p>a <b>b</b>c<br>d&nbsp;e<
 
 def test_lines_of():
     page = f"<html><head><title>no</title><style>p</style></head><body><header>Top</header><nav>a</nav><div class='cookie-notice'>We</div>{ARTICLE}<p>out</p><form>q</form><script>var x='</p>'"
-    assert html.main_text(html.lines_of(page), None)[0] == "T&x\na bc d e\nmore"
+    assert html.main_text(html.lines_of(page))[0] == "T&x\na bc d e\nmore"
     assert html.lines_of(None) == html.lines_of("") == html.lines_of("<!-- never ends") == []
     assert [x[0] for x in html.lines_of("plain &lt;text&gt; <")] == ["plain <text> <"]
 
@@ -88,10 +88,10 @@ def test_only_whole_names_are_template():
     gone = ["hidden", 'class="x ad"', "class='cookie-notice'", "id=ad_2", 'role="navigation"', 'aria-label="Related"', 'CLASS="Sidebar"']
     for a in kept + gone:
         page = f"<main><p>first</p><div {a}><p>second</p></div></main>"
-        assert html.main_text(html.lines_of(page), None)[0] == ("first\nsecond" if a in kept else "first"), a
+        assert html.main_text(html.lines_of(page))[0] == ("first\nsecond" if a in kept else "first"), a
     for tag in ("body", "main", "article"):
         lines = html.lines_of(f"<{tag} class='search'><p>text</p></{tag}>")
-        assert html.main_text(lines, None)[0] == "text" and not html.lines_of(f"<{tag} hidden><p>text</p></{tag}>")[0][1]
+        assert html.main_text(lines)[0] == "text" and not html.lines_of(f"<{tag} hidden><p>text</p></{tag}>")[0][1]
 
 
 def test_common():
@@ -102,19 +102,81 @@ def test_common():
 def test_neighbour_decides_beside_an_article():
     page = "<body><p>Site</p><article><p>{0}</p></article><div>{1}</div><p>Rights</p>"
     own, other = (html.lines_of(page.format(*x)) for x in (("story", "its second part"), ("other", "its own part")))
-    assert html.main_text(own, other) == ("story\nits second part", 2)
+    assert html.main_text(own, [other]) == ("story\nits second part", 2)
+
+
+def test_every_witness_decides_in_an_article():
+    """A line that all neighbours' stories hold is the site's; one that some hold is text; copies don't tell."""
+    page = "<article><p>{0}</p><p>Free to use.</p><p>Read more</p></article>"
+    lines = [html.lines_of(page.format(f"A story about the number {i}, told at some length")) for i in range(5)]
+    without = [html.lines_of(page.format(f"Story {i}, told at length").replace("<p>Free to use.</p>", "")) for i in range(2)]
+    assert html.main_text(lines[0], [lines[1], lines[2], *without])[0].split("\n")[1:] == ["Free to use."]
+    assert html.main_text(lines[0], lines[1:3])[1] == 0 and html.main_text(lines[0], [lines[0]] * 4)[1] == 0
+
+
+def test_class_names_and_hyphens():
+    page = '<article><p class="share-price">Shares of the firm rose</p><div id="print-edition"><p>second</p></div><section class="search-results-analysis">third</section></article>'
+    assert html.main_text(html.lines_of(page))[0] == "Shares of the firm rose\nsecond\nthird"
+
+
+def test_differencing_alone_finds_the_frame(spark, monkeypatch):
+    """Two sites without any mark-up but blocks: their frames go by their neighbours, and no story's line does."""
+    monkeypatch.setattr(html, "TEMPLATE", set())
+    monkeypatch.setattr(html, "NAMED", frozenset())
+    story = {i: [cases.prose(12, 1000 + 10 * i + k) for k in range(3)] + ["Free to use."] * (i % 7 == 0) for i in range(60)}
+    page = lambda i: f"<div>Site {i % 2}</div><ul><li>Home<li>News {i % 2}</ul>" + "".join(f"<p>{x}" for x in story[i]) + f"<div>Rights {i % 2}"
+    pages = spark.createDataFrame([(i, f"http://s{i % 2}/{i // 10}/{i}", page(i)) for i in range(60)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text.split("\n"), r.n_shared) for r in html.extract(pages).collect()}
+    assert all(n >= 4 and set(lines) <= set(story[i]) and set(story[i]) - set(lines) <= {"Free to use."} for i, (lines, n) in got.items())
+
+
+def test_long_pages_end():
+    equal, mixed = [1] * 20_000, [1, 2] * 10_000
+    assert len(html.common(equal, equal[:-1])) == 19_999 and len(html.common(mixed, [2] + mixed)) == 20_000
+    assert len(html.lines_of("<div>" * 20_000 + "x" + "</p>" * 20_000)) == 1 and len(html.lines_of("<p>x" * 50_000)) == 50_000
+    assert html.lines_of("<a " * 20_000 + "'") == []
+
+
+@pytest.mark.parametrize("matches", [0, 200_000])
+def test_common_is_longest(monkeypatch, matches):
+    monkeypatch.setattr(html, "MATCHES", matches)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = (rng.integers(0, 4, rng.integers(0, 14)).tolist() for _ in range(2))
+        assert len(html.common(a, b)) == decontam.lcs(a, b)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_pages_equal_brute_force(spark, sf_dir, partitions):
+    """Every page against its nearest on the host by a plain search; the number of partitions makes no difference."""
+    own = [(1, "http://h/a/1", "<p>x" * 3), (1, "http://h/a/1", "<p>x" * 3), (None, "http://h/a/1", "<p>y"), (7, None, "<p>alone"), (8, "http://h/b", None), (9, "HTTP://H/a/", "")]
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").union(spark.createDataFrame(own, "page_id long, url string, html string"))
+    keyed = df.select(*html.parts(F.col("url")), "url", F.xxhash64("page_id", "url", "html"), F.xxhash64(F.lit(1), "page_id", "url", "html"), "page_id", "html").collect()
+    order = sorted({tuple(r[:5]): html.lines_of(r[6]) for r in keyed if r[0]}.items())
+    want = Counter()
+    for r in keyed:
+        near = []
+        if r[0]:
+            at = next(i for i, (k, _) in enumerate(order) if k == tuple(r[:5]))
+            near = sorted((-len(__import__("os").path.commonprefix([r[1], order[at + d][0][1]])), abs(d), d) for d in range(-4, 5) if d and 0 <= at + d < len(order) and order[at + d][0][0] == r[0])[:4]
+        text = html.main_text(html.lines_of(r[6]), [order[at + d][1] for _, _, d in near])[0]
+        want[r[5], r[2], text, len(text)] += 1
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(df.withColumn("lines", F.lit(1)).repartition(3)).collect()) == want
+        assert html.extract(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_differencing(spark):
     frame = "<body><p>Site name</p><p>Menu</p><p>{0}</p><p>All rights</p></body>"
     pages = [(1, "http://h/a/1", frame.format("first story")), (2, "http://h/a/2", frame.format("second story")), (3, "http://other/a", frame.format("third")), (4, None, None), (5, "http://h/z", ""), (1, "http://h/a/1", frame.format("first story"))]
-    df = spark.createDataFrame([(*p, "own") for p in pages], "page_id long, url string, html string, text string").coalesce(1)
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    df = spark.createDataFrame([(*p, "own") for p in pages], "page_id long, url string, html string, text string")
     got = Counter((r.page_id, r.text, r.n_chars) for r in html.extract(df).collect())
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert got[2, "second story", 12] == 1 and got[4, "", 0] == 1 and got[5, "", 0] == 1
+    assert got[2, "second story", 12] == 1 and got[1, "first story", 11] == 2 and got[4, "", 0] == 1 and got[5, "", 0] == 1
     assert got[3, "Site name\nMenu\nthird\nAll rights", 31] == 1
-    assert html.extract(df.limit(0)).count() == 0
 
 
 # Quality
