@@ -1,19 +1,28 @@
 """Quality rules whose cutoffs are set by risk control on labelled documents.
 
-A rule rejects a text whose signal is above a cutoff. For every rule, stratum (lang) and cutoff of a fixed
-grid, labelled good documents give the number of false rejections k of n, and the cutoff is admissible if
-the exact binomial test P(Bin(n, risk / rules) <= k) <= confidence / tests rejects a larger risk: the
-one-sided Clopper-Pearson bound, with Bonferroni's correction over all tests. Each rule takes the lowest
-admissible cutoff of its stratum and none where there is none, so with probability 1 - confidence no
-stratum loses more than `risk` of its good documents to all rules together.
+A rule rejects a text whose signal is above its cutoff; cutoffs come from a fixed grid, laxest first. In every
+stratum (lang) the labelled documents that pass the base rules are dealt into two halves by a hash of doc_id.
 
-The labelled rows aren't used for fitting anything else, so all of them are the holdout. Counts are
-aggregated over all labelled documents; the table of cutoffs has a row per stratum.
+1. Selection half: a path of cutoffs for all rules together, from none to stricter and stricter. Each step
+   tightens the one rule that rejects most bad documents for each good one lost; no step after the path
+   loses more than twice the risk here.
+2. Holdout half: the good documents test the path's steps in this order. At a step that loses k of n, the
+   exact binomial test P(Bin(n, risk) <= k) <= confidence / strata shows that the rules together lose at most
+   `risk` (the one-sided Clopper-Pearson bound). The first step that fails ends the path (fixed-sequence
+   testing: steps need no further correction), the last that holds gives the cutoffs.
+
+So with probability 1 - confidence no stratum loses more than `risk` of its good documents to all rules
+together (documents drawn independently; copies under other ids count as documents of their own).
+
+Labelled documents are counted by the rules' bins before anything is brought together: a stratum holds at most
+a row for each combination of bins, however many labels there are. The table of cutoffs has a row a stratum.
 
 Defined results
 - null, empty or blank text: no words, all counts 0, fails the base rules;
-- null lang: a stratum of its own; a stratum without labelled rows: base rules only;
-- labels with null quality or doc_id: not used; repeated labels: a document counts once, the worst label counts;
+- null lang and empty lang: a stratum each; a stratum without labelled rows: base rules only;
+- labels with null quality or doc_id: not used; repeated labels: the worst counts; a labelled document of
+  several rows: its distinct rows count;
+- ties in a step's gain: the first rule in the table of rules; a signal equal to a cutoff is not above it;
 - repeated rows: judged alike; no rows: no rows; further columns are not read.
 """
 
@@ -25,22 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import staged, table
 
-RISK = 0.01
+RISK = 0.02
 CONFIDENCE = 0.05
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
-#: Rule -> (signal, cutoffs), fixed before any label is seen.
+#: Rule -> (signal, cutoffs from the laxest), fixed before any label is seen.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / n_words", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0, 2.0]),
-    "repeat_words": ("n_repeat_words / n_words", [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45]),
-    "dup_lines": ("n_dup_lines / n_words", [0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2, 0.3]),
-    "long_words": ("word_chars / n_words", [5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0]),
-    "short_words": ("-word_chars / n_words", [-4.5, -4.0, -3.5, -3.25, -3.0, -2.75, -2.5, -2.0, -1.5]),
+    "symbols": ("n_symbols / n_words", [2.0, 1.0, 0.5, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02]),
+    "repeat_words": ("n_repeat_words / n_words", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05]),
+    "dup_lines": ("n_dup_lines / n_words", [0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01, 0.005, 0.002]),
+    "long_words": ("word_chars / n_words", [12.0, 10.0, 9.0, 8.0, 7.5, 7.0, 6.5, 6.0, 5.5]),
+    "short_words": ("-word_chars / n_words", [-1.5, -2.0, -2.5, -2.75, -3.0, -3.25, -3.5, -4.0, -4.5]),
 }
+STEPS = 9
+#: Selection stops where the rules lose so many times the risk.
+SLACK = 2
 
 
 def signals(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -81,7 +93,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5))], names=["doc_id", "stratum", *COUNTS])
 
     stratum = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(stratum, F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), stratum), F.lit("")).alias("stratum"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
     return out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
@@ -102,32 +114,73 @@ def admissible(k: int, n: int, risk: float, level: float) -> bool:
     return binomial_cdf(k, n, risk) <= level
 
 
+def path(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, most: float) -> list[tuple[int, ...]]:
+    """Steps of stricter and stricter cutoffs, as how many of each rule's grid are in force.
+
+    bins: by row and rule, the first place of the grid that rejects, from 1; STEPS + 1: none. good, bad: documents of the row.
+    """
+    at = np.zeros(bins.shape[1], dtype=np.int64)
+    left, lost, out = np.ones(len(bins), dtype=bool), 0, []
+    while True:
+        best = (0.0, 0, 0)
+        for r in range(bins.shape[1]):
+            gain_bad, gain_good = (np.cumsum(np.bincount(bins[left, r], weights=w[left], minlength=STEPS + 2)) for w in (bad, good))
+            for t in range(int(at[r]) + 1, STEPS + 1):
+                worth = gain_bad[t] / (gain_good[t] + 1)
+                if worth > best[0] and lost + gain_good[t] <= most:
+                    best = (worth, r, t)
+        if not best[0]:
+            return out
+        _, r, t = best
+        at[r] = t
+        hit = left & (bins[:, r] <= t)
+        lost += good[hit].sum()
+        left &= ~hit
+        out.append(tuple(at.tolist()))
+
+
+def certified(steps: list[tuple[int, ...]], bins: np.ndarray, good: np.ndarray, risk: float, level: float) -> tuple[int, ...] | None:
+    """The last step of the path that holds, with all before it, on the holdout's good documents."""
+    held, n = None, int(good.sum())
+    for step in steps:
+        k = int(good[(bins <= np.array(step)).any(axis=1)].sum())
+        if not admissible(k, n, risk, level):
+            break
+        held = step
+    return held
+
+
 def _value(rule: str) -> Column:
     return F.expr(f"try_divide({RULES[rule][0].replace(' / ', ', ')})")
 
 
-def cutoffs(own: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """stratum and a cutoff for every rule (null: none), a row per stratum that has labelled good documents."""
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality > 0").select("doc_id")
-    held = own.where("not base_failed").join(good, "doc_id")
-    sums = [F.count_if(F.coalesce(_value(r) > c, F.lit(False))).alias(f"{r}_{i}") for r, (_, grid) in RULES.items() for i, c in enumerate(grid)]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
-    strata = F.count(F.lit(1)).over(Window.partitionBy())
-    per_stratum = sum(len(grid) for _, grid in RULES.values())
+def binned(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, half, a bin for each rule, good, bad): labelled documents counted by the rules' bins."""
+    graded = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("fine"))
+    bins = [F.lit(STEPS + 1) - sum((F.coalesce(_value(r) > c, F.lit(False)).cast("int") for c in grid), F.lit(0)) for r, (_, grid) in RULES.items()]
+    rows = own.where("not base_failed").join(graded, "doc_id").select("doc_id", "fine", "stratum", *(b.alias(r) for r, b in zip(RULES, bins))).distinct()
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    return rows.groupBy("stratum", half.alias("half"), *RULES).agg(F.count_if("fine").alias("good"), F.count_if(~F.col("fine")).alias("bad"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                level = confidence / (per_stratum * row["strata"])
-                picked = {"stratum": row["stratum"]}
-                for rule, (_, grid) in RULES.items():
-                    fine = [c for i, c in enumerate(grid) if admissible(row[f"{rule}_{i}"], row["n"], risk / len(RULES), level)]
-                    picked[rule] = min(fine, default=None)
-                out.append(picked)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("stratum", pa.string())] + [(r, pa.float64()) for r in RULES]))
-
-    return counts.withColumn("strata", strata).mapInArrow(run, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
+
+def cutoffs(own: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """stratum and a cutoff for every rule (null: none), a row per stratum that has labelled documents."""
+    counts = staged(binned(own, labels), "bins")
+    strata = counts.where("good > 0").select(F.greatest(F.count_distinct("stratum"), F.lit(1)).alias("strata"))
+
+    def run(table: pa.Table) -> pa.Table:
+        bins = np.stack([table.column(r).to_numpy() for r in RULES], axis=1)
+        good, bad, half = (table.column(c).to_numpy() for c in ("good", "bad", "half"))
+        order = np.lexsort(bins.T)
+        bins, good, bad, half = bins[order], good[order], bad[order], half[order]
+        choose, hold = half == 0, half == 1
+        steps = path(bins[choose], good[choose], bad[choose], SLACK * risk * good[choose].sum())
+        held = certified(steps, bins[hold], good[hold], risk, confidence / table.column("strata")[0].as_py())
+        picked = {r: grid[t - 1] if t else None for (r, (_, grid)), t in zip(RULES.items(), held or [0] * len(RULES))}
+        return pa.Table.from_pylist([{"stratum": table.column("stratum")[0].as_py(), **picked}], schema=pa.schema([("stratum", pa.string())] + [(r, pa.float64()) for r in RULES]))
+
+    rows = counts.crossJoin(F.broadcast(strata))  # one row
+    return rows.groupBy("stratum").applyInArrow(run, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
