@@ -242,7 +242,7 @@ def test_quality_query_equals_brute_force(spark, sf_dir, tmp_path):
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
     made = [(2 * 10**6 + i, cases.prose(60, i) if i % 3 else cases.prose(60, i).replace(" ", " *** "), ["en", "en", None, "en", ""][i % 5], "s", 1) for i in range(2000)]
     docs = docs.union(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic").union(spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, *_ in made], "doc_id long, quality int, toxic int"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic").union(spark.createDataFrame([(i, int((i - 2 * 10**6) % 3 > 0), 0) for i, *_ in made], "doc_id long, quality int, toxic int"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     rows = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half")).collect()
