@@ -6,11 +6,21 @@ under the segment's value and all values one bit away; two values at most two bi
 under a common key, so balls of radius 1 on both sides answer a radius of 2 at 33 keys, not 529, for a
 segment of 32 bits. What meets under a key is verified on the complete distance.
 
+`deduplicate` asks for a Jaccard similarity of `SIMILAR` on five-word shingles, which 64 bits are too few to
+tell. It takes fingerprints of 256 bits; half of them make six segments of 21 bits with balls as above (a pair
+of similarity 0.8 differs in 39 of 256 bits on average, and meets in one of the segments in about 19 of 20
+cases). Pairs within `SURE` bits are links (hardly one of them is below 0.75);
+those up to `WIDE` bits are compared on their shingles, exactly.
+Of what meets under the keys of a batch a minimum spanning forest by distance goes on, so that a group
+of thousands of copies costs edges in proportion to its size, each document by its nearest.
+
 Defined results
 - null, empty or blank text: no shingle, fingerprint 0, linked like any other;
 - fewer words than a shingle: one shingle of all words;
 - equal texts, repeated rows: same fingerprint, same component; null doc_id: row kept, never the
-  smallest id unless its component has no other;
+  smallest id unless its component has no other; deduplicate keeps the smallest doc_id of a group, of equal
+  doc_ids one row;
+- ties in distance: the pair of smaller fingerprints first;
 - no rows: no rows. Further columns are not read.
 """
 
@@ -21,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import connected_components, n_partitions, staged, table
@@ -29,6 +39,15 @@ from ._common import connected_components, n_partitions, staged, table
 SEED = 42
 #: Runs up to this length are compared by shifting whole batches; longer ones one by one.
 SHORT_RUN = 48
+#: Jaccard similarity of near duplicates; bits of 256 within which it is certain, and beyond which it is not to be had.
+SIMILAR, SURE, WIDE = 0.8, 26, 50
+#: Segments of a wide fingerprint: three of 21 bits in each of its first two words.
+WIDE_SEGMENTS, WIDE_BITS = 6, 21
+#: Runs of wide fingerprints up to this length are compared pair by pair.
+SHORT_WIDE_RUN = 16
+#: Odd multipliers that spread a shingle's hash over four words.
+LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+LOW_BITS = np.uint64(0x0101010101010101)
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = SEED) -> int:
@@ -87,8 +106,8 @@ def _link_run(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _forest(ab: np.ndarray) -> np.ndarray:
-    """Of edges, those that connect what the ones before them don't: fewer than there are nodes."""
+def _forest_places(ab: np.ndarray) -> list[int]:
+    """Of edges, the places of those that connect what the ones before them don't: fewer than there are nodes."""
     parent: dict[int, int] = {}
     keep = []
     for i, (a, b) in enumerate(ab.tolist()):
@@ -101,7 +120,7 @@ def _forest(ab: np.ndarray) -> np.ndarray:
         if a != b:
             parent[max(a, b)] = min(a, b)
             keep.append(i)
-    return ab[keep]
+    return keep
 
 
 def _edges(radius: int):
@@ -126,7 +145,7 @@ def _edges(radius: int):
         pairs = [p for p in found(key, fp) if len(p[0])]
         if pairs:
             ab = np.unique(np.sort(np.stack([np.concatenate([p[i] for p in pairs]) for i in (0, 1)], axis=1), axis=1), axis=0)
-            ab = _forest(ab)
+            ab = ab[_forest_places(ab)]
             yield pa.record_batch([pa.array(ab[:, i].copy().view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +197,189 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, segments:
     return own.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, radius: int = 8, segments: int = 3) -> DataFrame:
-    """docs with one row of every group of near duplicates: the one of smallest doc_id (null last).
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole text if it has fewer words; none without words."""
+    w = (text or b"").lower().split()
+    if len(w) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else [], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, zip(*(w[i:] for i in range(words))))], dtype=np.uint64)
 
-    Five-word shingles; 8 of 64 bits stand for a Jaccard similarity of about 0.86 (cos(8 pi / 64) between
-    texts of one length), and pairs of 0.8 are within 8 bits about every second time.
-    """
+
+def wide_fingerprint(text: bytes | None, words: int = 5) -> bytes:
+    """256-bit SimHash: each shingle's hash is spread over four words."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return bytes(32)
+    ones = np.zeros((8, 32), dtype=np.int64)  # by bit of a byte and byte
+    for at in range(0, len(h), 1 << 15):
+        x = h[at : at + (1 << 15), None] * LANES
+        x ^= x >> np.uint64(29)
+        x *= LANES[::-1]
+        x ^= x >> np.uint64(32)
+        starts = np.arange(0, len(x), 255)  # so many ones a byte holds
+        for bit in range(8):
+            ones[bit] += np.add.reduceat((x >> np.uint64(bit)) & LOW_BITS, starts, axis=0).view(np.uint8).reshape(-1, 32).sum(axis=0, dtype=np.int64)
+    return np.packbits((ones * 2 > len(h)).T.reshape(-1), bitorder="little").tobytes()
+
+
+def _nearest(front: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every row of left: the place of its nearest in front, and their distance."""
+    best, at = np.full(len(left), 999), np.zeros(len(left), dtype=np.int64)
+    step = max(1, (1 << 20) // max(1, len(left)))
+    for lo in range(0, len(front), step):
+        d = np.bitwise_count(front[lo : lo + step, None] ^ left[None]).sum(axis=2, dtype=np.int64)
+        own = d.argmin(axis=0)
+        least = d[own, np.arange(len(left))]
+        at[least < best] = own[least < best] + lo
+        best = np.minimum(best, least)
+    return at, best
+
+
+def _wide_run(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a long run: breadth first from the fingerprint nearest to the bitwise majority, each by its nearest in the front."""
+    left = np.unique(fps, axis=0)
+    while len(left) > 1:
+        bits = np.unpackbits(left.view(np.uint8), axis=1).mean(axis=0) > 0.5
+        centre = np.packbits(bits).view(np.uint64)
+        root = int(np.bitwise_count(left ^ centre).sum(axis=1).argmin())
+        front, left = left[root : root + 1], np.delete(left, root, axis=0)
+        while len(front) and len(left):
+            at, d = _nearest(front, left)
+            near = d <= radius
+            yield front[at[near]], left[near]
+            front, left = left[near], left[~near]
+
+
+def _wide_edges(radius: int):
+    """mapInArrow over rows (key, fp of 32 bytes) sorted by key: (a, b, distance) of a minimum spanning forest of what meets within radius."""
+
+    def found(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        lengths = np.diff(np.r_[starts, len(key)])
+        for s, n in zip(starts[lengths > SHORT_WIDE_RUN], lengths[lengths > SHORT_WIDE_RUN]):
+            yield from _wide_run(fp[s : s + n], radius)
+        short = np.repeat(lengths <= SHORT_WIDE_RUN, lengths)
+        key, fp = key[short], fp[short]
+        for o in range(1, SHORT_WIDE_RUN):
+            same = np.flatnonzero(key[o:] == key[:-o])
+            if not len(same):
+                break
+            x, y = fp[same], fp[same + o]
+            near = np.bitwise_count(x ^ y).sum(axis=1) <= radius
+            yield x[near], y[near]
+
+    def rows(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = [p for p in found(key, fp) if len(p[0])]
+        if not pairs:
+            return
+        x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
+        names, place = np.unique(np.ascontiguousarray(np.r_[x, y]).view("V32").reshape(-1), return_inverse=True)
+        ends = np.sort(place.reshape(2, -1), axis=0)
+        cells = np.unique(np.c_[d, ends[0], ends[1]][ends[0] != ends[1]], axis=0)  # by distance, then fingerprints
+        if len(cells):
+            cells = cells[_forest_places(cells[:, 1:])]
+            yield pa.record_batch([*(pa.array([bytes(v) for v in names[cells[:, c]]], pa.binary()) for c in (1, 2)), pa.array(cells[:, 0].astype(np.int32))], names=["a", "b", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(-1, 4)))
+            size += b.num_rows
+            if size < 1 << 18 or held[-1][0][0] == held[-1][0][-1]:
+                continue
+            k, f = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            cut = int(np.searchsorted(k, k[-1]))  # the last run may go on
+            yield from rows(k[:cut], f[:cut])
+            held, size = [(k[cut:], f[cut:])], len(k) - cut
+        if held:
+            yield from rows(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+
+    return run
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
+    """(a, b, d): candidate edges between distinct fingerprints of 32 bytes (column fp)."""
+    mask = (1 << WIDE_BITS) - 1
+    ball = []
+    for s in range(WIDE_SEGMENTS):
+        word, shift = divmod(s, WIDE_SEGMENTS // 2)
+        ball += [f"named_struct('s', {s}L, 'w', {word}, 'shift', {shift * WIDE_BITS}, 'flip', {flip}L)" for flip in [0, *((1 << i) for i in range(WIDE_BITS))]]
+    words = [F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, -10).cast("long").alias(f"w{w}") for w in (0, 1)]
+    probe = fps.select("fp", *words).select("fp", "w0", "w1", F.expr(f"explode(array({', '.join(ball)}))").alias("p"))
+    keyed = probe.select(F.expr(f"shiftleft(p.s, 58) | ((shiftrightunsigned(if(p.w = 0, w0, w1), p.shift) & {mask}L) ^ p.flip)").alias("key"), "fp")
+    dealt = keyed.repartition(n_partitions(fps.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_wide_edges(radius), "a binary, b binary, d int")
+
+
+def _alike(similar: float):
+    """mapInArrow over rows (a, b, x, y), x and y sorted distinct shingle hashes: the pairs whose Jaccard similarity is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both))
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _keys() -> list[Column]:
+    """Two hashes of doc_id and text, which together stand for a row."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.xxhash64("doc_id", text).alias("doc_id"), text.alias("text"))
-    own = staged(fingerprints(rows, words).withColumnRenamed("doc_id", "_row"), "simhash")
-    roots = connected_components(links(own.select("fp").distinct(), radius, segments))
-    group = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_row", F.coalesce("root", "fp").alias("_group"))
-    ids = docs.select(F.xxhash64("doc_id", text).alias("_row"), F.col("doc_id").alias("_id"))
-    names = ids.join(group.distinct(), "_row")
-    first = staged(names.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("s")).select(F.col("s._row").alias("_row")), "kept")
-    kept = docs.withColumn("_row", F.xxhash64("doc_id", text)).join(first, "_row", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))  # repeated rows
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return [F.xxhash64("doc_id", text).alias("_k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("_k2")]
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): (_k1, _k2, doc_id, fp) of every row of docs, and (node, root) of the fingerprints that links connect.
+
+    Linked are texts of one wide fingerprint, texts within SURE bits, and texts within WIDE bits whose Jaccard similarity is `similar`.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([*b.columns[:3], pa.array([wide_fingerprint(t.as_py(), words) for t in b.column(3).cast(pa.large_binary())], pa.binary())], names=["_k1", "_k2", "doc_id", "fp"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1).cast(pa.large_binary())]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
+    texts = docs.select(*_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = staged(texts.mapInArrow(prints, "_k1 long, _k2 long, doc_id long, fp binary"), "wide")
+    met = staged(wide_links(rows.select("fp").distinct()), "met").groupBy("a", "b").agg(F.min("d").alias("d"))
+    met = staged(met, "candidates")
+    sure = connected_components(met.where(F.col("d") <= SURE))
+    root = lambda side: sure.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    open_ = met.where(F.col("d") > SURE).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = staged(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open")
+    need = open_.select(F.col("a").alias("fp")).union(open_.select("b")).distinct()
+    one = rows.join(need, "fp").groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("fp", "k.*")
+    sets = texts.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).select("fp", "text").dropDuplicates(["fp"])
+    sets = staged(sets.mapInArrow(shingles, "fp binary, set array<long>"), "shingles")
+    side = lambda name, value: sets.select(F.col("fp").alias(name), F.col("set").alias(value))
+    alike = open_.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike(similar), "a binary, b binary")
+    return rows, connected_components(alike.union(sure.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of every group of near duplicates: the one of smallest doc_id (null last)."""
+    rows, roots = similar_groups(docs, words, similar)
+    group = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_k1", "_k2", "doc_id", F.coalesce("root", "fp").alias("group"))
+    first = group.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2")).alias("s"))
+    kept = staged(first.select("s._k1", "s._k2"), "kept")
+    gone = staged(rows.select("_k1", "_k2").join(kept, ["_k1", "_k2"], "left_anti").distinct(), "gone")
+    again = staged(rows.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2").join(kept, ["_k1", "_k2"], "left_semi"), "again")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *_keys()).join(gone, ["_k1", "_k2"], "left_anti")
+    once = keyed.join(again, ["_k1", "_k2"], "left_anti").select("_row")
+    repeated = keyed.join(again, ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.first("_row").alias("_row")).select("_row")
+    return once.union(repeated).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
