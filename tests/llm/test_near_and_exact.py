@@ -105,7 +105,7 @@ def test_near_copies_equal_brute_force(spark):
     hub = cases.prose(300, 77).split()
     for _ in range(200):
         copy = list(hub)
-        for at in rng.integers(0, 300, 8):
+        for at in rng.integers(0, 300, 5):
             copy[at] = f"new{rng.integers(1 << 30)}"
         texts.append(" ".join(copy))
     texts.append(" ".join(hub))
