@@ -11,8 +11,9 @@ tell. It takes fingerprints of 256 bits; half of them make six segments of 21 bi
 of similarity 0.8 differs in 39 of 256 bits on average, and meets in one of the segments in about 19 of 20
 cases). Pairs within `SURE` bits are links (hardly one of them is below 0.75);
 those up to `WIDE` bits are compared on their shingles, exactly.
-Of what meets under the keys of a batch a minimum spanning forest by distance goes on, so that a group
-of thousands of copies costs edges in proportion to its size, each document by its nearest.
+Of what meets under the keys of a batch a minimum spanning forest by distance goes on, and for each of its
+trees a star around the fingerprint nearest to the bitwise majority, which in a group of copies is the
+original: a group of thousands costs edges in proportion to its size, not pairs.
 
 Defined results
 - null, empty or blank text: no shingle, fingerprint 0, linked like any other;
@@ -250,6 +251,30 @@ def _wide_run(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.nda
             front, left = left[near], left[~near]
 
 
+def _stars(fps: np.ndarray, ab: np.ndarray, radius: int) -> np.ndarray:
+    """(distance, a, b) within radius between the middle of each tree of the forest ab and its other nodes."""
+    root = np.arange(len(fps))
+    while True:
+        low = np.minimum(root[ab[:, 0]], root[ab[:, 1]])
+        before = root.copy()
+        np.minimum.at(root, root[ab[:, 0]], low)
+        np.minimum.at(root, root[ab[:, 1]], low)
+        root = root[root]
+        if np.array_equal(before, root):
+            break
+    order = np.argsort(root, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(root[order]) > 0])
+    out = [np.empty((0, 3), dtype=np.int64)]
+    for own in np.split(order, first[1:]):
+        if len(own) > 2:
+            bits = np.unpackbits(fps[own].view(np.uint8), axis=1).mean(axis=0) > 0.5
+            middle = own[np.bitwise_count(fps[own] ^ np.packbits(bits).view(np.uint64)).sum(axis=1).argmin()]
+            d = np.bitwise_count(fps[own] ^ fps[middle]).sum(axis=1, dtype=np.int64)
+            near = own[(d <= radius) & (own != middle)]
+            out.append(np.c_[d[(d <= radius) & (own != middle)], np.minimum(near, middle), np.maximum(near, middle)])
+    return np.concatenate(out)
+
+
 def _wide_edges(radius: int):
     """mapInArrow over rows (key, fp of 32 bytes) sorted by key: (a, b, distance) of a minimum spanning forest of what meets within radius."""
 
@@ -279,6 +304,7 @@ def _wide_edges(radius: int):
         cells = np.unique(np.c_[d, ends[0], ends[1]][ends[0] != ends[1]], axis=0)  # by distance, then fingerprints
         if len(cells):
             cells = cells[_forest_places(cells[:, 1:])]
+            cells = np.unique(np.r_[cells, _stars(names.view(np.uint64).reshape(-1, 4), cells[:, 1:], radius)], axis=0)
             yield pa.record_batch([*(pa.array([bytes(v) for v in names[cells[:, c]]], pa.binary()) for c in (1, 2)), pa.array(cells[:, 0].astype(np.int32))], names=["a", "b", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +337,10 @@ def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
     words = [F.conv(F.hex(F.substring("fp", 8 * w + 1, 8)), 16, -10).cast("long").alias(f"w{w}") for w in (0, 1)]
     probe = fps.select("fp", *words).select("fp", "w0", "w1", F.expr(f"explode(array({', '.join(ball)}))").alias("p"))
     keyed = probe.select(F.expr(f"shiftleft(p.s, 58) | ((shiftrightunsigned(if(p.w = 0, w0, w1), p.shift) & {mask}L) ^ p.flip)").alias("key"), "fp")
-    dealt = keyed.repartition(n_partitions(fps.sparkSession), "key").sortWithinPartitions("key")
+    # keys of one segment that begin alike share a task, so that copies meet in few tasks: a quarter as many beginnings as tasks
+    parts = n_partitions(fps.sparkSession)
+    block = F.expr(f"shiftrightunsigned(key, {WIDE_BITS - min(WIDE_BITS, max(1, parts.bit_length() - 2))})")
+    dealt = keyed.repartition(parts, block).sortWithinPartitions("key")
     return dealt.mapInArrow(_wide_edges(radius), "a binary, b binary, d int")
 
 
