@@ -4,11 +4,14 @@
    anchor: equal windows have equal anchors, and about one position in fifteen is one. Anchor counts are
    added up before the shuffle; an anchor that occurs once clears all its windows.
 2. Confirmation. For anchors that recur, the hashes of their windows meet under the anchor, and windows
-   found twice or more are confirmed. Anchors with more than `HOT` occurrences don't meet in one task:
-   their windows are counted by partial aggregation and joined back, and adaptive skew joins can split them.
-3. Automata. Confirmed windows that overlap or touch form passages. Every block of documents compiles
-   the passages that its documents share into one Aho-Corasick automaton (a shard, as large as the block
-   allows) over word numbers, and streams all its documents through it; words inside an occurrence go.
+   found twice or more are confirmed; the first of them by (row, place) represents it. Windows of anchors with
+   more than `HOT` occurrences go one by one: they are counted by partial aggregation and get their
+   representative by a salted join, so no task holds them all.
+3. Automata. Documents are dealt into blocks of about `BLOCK_WORDS` words. For every block the passages that its
+   documents share with others, as far as they are confirmed, are cut out of their representatives' texts and
+   shipped to it, once a block. The block compiles them into one Aho-Corasick automaton (a shard) over word
+   numbers and streams all its documents through it; words inside an occurrence go. Documents bring no
+   places along: what isn't found by the automaton stays.
 
 An automaton over all passages would grow with the corpus; a shard holds what its own block can contain,
 so every document meets one automaton and work stays in proportion to the text.
@@ -17,6 +20,7 @@ Defined results
 - null, empty or blank text: no words, nothing removed, the hash of the empty string;
 - fewer words than a window: nothing removed;
 - repeated rows and equal texts: each other's copies, so every word of a text of one window or more goes;
+- very long texts: blocks of their own size; word numbers have no limit;
 - null doc_id: kept as a row; no rows: no rows. Further columns are not read.
 """
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -37,8 +42,12 @@ from ._common import n_partitions, staged, table
 PHRASE = 8
 #: Occurrences of an anchor above which its windows are counted by aggregation instead of meeting in a task.
 HOT = 2000
-#: Words of a block, and so of an automaton.
-BLOCK_WORDS = 400_000
+#: Windows of a passage; longer ones are cut, each piece with all words of its windows, for automata go as deep as their passages are long.
+PIECE = 1000
+#: Parts that the occurrences of a hot window are dealt into.
+SALT = 16
+#: Words of a block, and so of an automaton; words to an anchor.
+BLOCK_WORDS, SPACING = 400_000, 14
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 300_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -139,23 +148,35 @@ def _window_rows(window: int):
     return run
 
 
+NEED = "key long, rep long, delta int, low int, high int"
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (gram, key, start, hashes) sorted by gram: (key, starts) of windows found twice or more under a gram."""
+    """Of rows (gram, key, start, hashes) sorted by gram: (key, rep, delta, low, high), runs of windows found twice or more under a gram.
+
+    The windows low .. high - 1 of row rep represent those of row key, delta places further on.
+    """
 
     def flush(grams: np.ndarray, keys: np.ndarray, starts: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch | None:
         n = np.array([len(x) for x in blobs]) // 8
         h = np.frombuffer(b"".join(blobs), dtype=np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        g = np.repeat(grams, n)
-        order = np.lexsort((h, g))
-        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]
-        first = np.flatnonzero(new)
-        many = np.repeat(np.diff(np.r_[first, len(h)]) > 1, np.diff(np.r_[first, len(h)]))
-        hit = order[many]
-        if not len(hit):
+        at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + starts[row]
+        g, key = grams[row], keys[row]
+        order = np.lexsort((at, key, h, g))
+        first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+        size = np.diff(np.r_[first, len(h)])
+        hit = np.repeat(size > 1, size)
+        if not hit.any():
             return None
-        return pa.record_batch([pa.array(keys[row[hit]]), pa.array((starts[row[hit]] + at[hit]).astype(np.int32))], names=["key", "start"])
+        lead = order[np.repeat(first, size)[hit]]
+        mine = order[hit]
+        back = np.lexsort((at[mine], key[mine]))
+        mine, lead = mine[back], lead[back]
+        k, a, r, b = key[mine], at[mine], key[lead], at[lead]
+        new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1] + 1) | (r[1:] != r[:-1]) | (b[1:] != b[:-1] + 1)])
+        run = np.diff(np.r_[new, len(k)])
+        return pa.record_batch([pa.array(k[new]), pa.array(r[new]), *(pa.array(x.astype(np.int32)) for x in ((a - b)[new], b[new], b[new] + run))], names=["key", "rep", "delta", "low", "high"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -182,91 +203,108 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _strip(window: int, texts: bool):
-    """Stream documents (doc_id, text, starts) through the automaton of their block."""
-
-    def block(rows: list[tuple]) -> pa.RecordBatch:
-        numbers: dict[bytes, str] = {}
-        coded, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for _, words, _ in rows:
-            line = []
-            for w in words:
-                c = numbers.get(w)
-                if c is None:
-                    n = len(numbers) + 1
-                    c = numbers[w] = chr(n + 0x800 * (n >= 0xD800))  # code points without the surrogates
-                line.append(c)
-            coded.append("".join(line))
-        for (_, _, starts), line in zip(rows, coded):
-            if starts is not None and len(starts):
-                starts = np.unique(starts)
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    automaton.add_word(line[run[0] : run[-1] + window])
-        if len(automaton):
-            automaton.make_automaton()
-        ids, ns, gone, digests, kept_texts = [], [], [], [], []
-        for (doc_id, words, _), line in zip(rows, coded):
-            kept = words
-            if len(automaton) and len(line) >= window:
-                edge = np.zeros(len(line) + 1, dtype=np.int64)
-                for end, length in automaton.iter(line):
-                    edge[end + 1 - length] += 1
-                    edge[end + 1] -= 1
-                covered = np.cumsum(edge[:-1]) > 0
-                if covered.any():
-                    kept = [w for w, c in zip(words, covered.tolist()) if not c]
-            out = b" ".join(kept)
-            ids.append(doc_id)
-            ns.append(len(words))
-            gone.append(len(words) - len(kept))
-            digests.append(hashlib.sha256(out).hexdigest())
-            kept_texts.append(out)
-        arrays = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-        if texts:
-            arrays.append(pa.array(kept_texts, pa.binary()).cast(pa.string()))
-            names.append("kept_text")
-        return pa.record_batch(arrays, names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size = 0
-        for b in batches:
-            for doc_id, text, starts in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
-                words = (text.as_py() or b"").split()
-                rows.append((doc_id, words, starts.values.to_numpy() if starts.is_valid else None))
-                size += len(words)
-                if size >= BLOCK_WORDS:
-                    yield block(rows)
-                    rows, size = [], 0
-        if rows:
-            yield block(rows)
-
-    return run
-
-
-def repeated_windows(keyed: DataFrame, window: int) -> DataFrame:
-    """(key, starts array<int>) of the windows of keyed (key, text) whose word sequence starts elsewhere too."""
+def needs(keyed: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """(rows, words): NEED, the runs of windows of keyed (key, text) whose word sequence starts elsewhere too; and about how many words there are."""
     spark = keyed.sparkSession
     anchors = staged(keyed.mapInArrow(_anchor_rows(window), "gram long, key long, n int"), "anchors")
+    words = SPACING * (anchors.agg(F.sum("n")).head()[0] or 0)
     recurring = anchors.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     grams = anchors.select("gram", "key").join(recurring, "gram").groupBy("key").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.col("n") > HOT).alias("hots"))
     some = keyed.join(grams, "key").select("key", "text", "grams", "hots")
     rows = staged(some.mapInArrow(_window_rows(window), "gram long, hot boolean, key long, start int, hashes binary"), "windows")
     cold = rows.where("not hot").select("gram", "key", "start", "hashes").repartition(n_partitions(spark), "gram").sortWithinPartitions("gram")
-    cold = cold.mapInArrow(_confirmed, "key long, start int")
-    hot = rows.where("hot").select("gram", "key", "start")
-    hot = hot.join(hot.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "gram").select("key", "start")
-    return cold.union(hot).groupBy("key").agg(F.collect_list("start").alias("starts"))
+    cold = cold.mapInArrow(_confirmed, NEED)
+    hot = rows.where("hot").select("gram", "key", "start", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).alias("salt"))
+    lead = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("lead")).where("n > 1")
+    lead = lead.select("gram", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    hot = hot.join(lead, ["gram", "salt"]).select("key", F.col("lead.key").alias("rep"), (F.col("start") - F.col("lead.start")).alias("delta"), F.col("lead.start").alias("low"), (F.col("lead.start") + 1).alias("high"))
+    return cold.union(hot), words
+
+
+def _passages(window: int):
+    """Rows (block, text, needs array<struct<key, delta, low, high>>) of representatives: the block's passages, each a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blocks, texts = [], []
+            for block, text, need in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
+                words, own = text.as_py().split(), need.values
+                key, delta, low, high = (own.field(i).to_numpy() for i in range(4))
+                order = np.lexsort((low, delta, key))
+                key, delta, low, high = key[order], delta[order], low[order], high[order]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (delta[1:] != delta[:-1]) | (low[1:] > high[:-1])])
+                for x, y in {(int(low[i]), int(high[j - 1])) for i, j in zip(new, np.r_[new[1:], len(key)])}:
+                    for piece in range(x, y, PIECE):
+                        blocks.append(block)
+                        texts.append(b" ".join(words[piece : min(y, piece + PIECE) - 1 + window]))
+            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["block", "text"])
+
+    return run
+
+
+def compiled(passages: list[list[bytes]]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """The automaton of passages, and the numbers that stand for their words; 0 stands for all others."""
+    numbers: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for words in passages:
+        automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]))
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton, numbers
+
+
+def covered(automaton: ahocorasick.Automaton, numbers: dict[bytes, int], words: list[bytes]) -> np.ndarray | None:
+    """Which words lie in an occurrence of a passage; None if none does."""
+    edge = None
+    if len(automaton):
+        for end, length in automaton.iter(tuple(map(numbers.get, words, repeat(0)))):
+            if edge is None:
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+            edge[end + 1 - length] += 1
+            edge[end + 1] -= 1
+    return None if edge is None else np.cumsum(edge[:-1]) > 0
+
+
+def _strip(window: int, texts: bool):
+    """Rows (block, passage, doc_id, text) by block, passages first: every document after its block's automaton."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, passages, shard = None, [], None
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for at, passage, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.large_binary())):
+                if at != block:
+                    block, passages, shard = at, [], None
+                words = (text.as_py() or b"").split()
+                if passage:
+                    passages.append(words)
+                    continue
+                if shard is None:
+                    shard, passages = compiled(passages), []
+                inside = covered(*shard, words) if len(words) >= window else None
+                kept = words if inside is None else [w for w, c in zip(words, inside.tolist()) if not c]
+                left = b" ".join(kept)
+                for column, value in zip(out, (doc_id, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left)):
+                    column.append(value)
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
+            yield pa.record_batch([*arrays, *(pa.array(c, pa.binary()).cast(pa.string()) for c in out[4:])], names=names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with `texts`, kept_text of every row of docs."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    starts = repeated_windows(keyed.select("key", "text"), window)
-    joined = keyed.join(starts, "key", "left").select("doc_id", "text", "starts")
+    rows, words = needs(keyed.select("key", "text"), window)
+    block = F.pmod(F.col("key"), F.lit(max(1, -(-words // BLOCK_WORDS))))
+    wanted = rows.withColumn("block", block).groupBy("block", "rep").agg(F.collect_list(F.struct("key", "delta", "low", "high")).alias("needs"))
+    cut = wanted.join(keyed.select(F.col("key").alias("rep"), "text"), "rep").select("block", "text", "needs").mapInArrow(_passages(window), "block long, text string")
+    passages = cut.select("block", F.lit(True).alias("passage"), F.lit(None).cast("long").alias("doc_id"), "text")
+    both = passages.union(keyed.select(block.alias("block"), F.lit(False), "doc_id", "text"))
+    dealt = both.repartition(n_partitions(docs.sparkSession), "block").sortWithinPartitions("block", F.desc("passage"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return joined.mapInArrow(_strip(window, texts), schema)
+    return dealt.mapInArrow(_strip(window, texts), schema)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,30 +139,53 @@ def test_substring(monkeypatch, clashing, hot):
     assert Counter(map(tuple, substring.remove_repeats(clashing, 35, texts=False).collect())) == brute_repeats(rows, 35)
 
 
+def test_automata_find_what_goes(monkeypatch, docs):
+    """Without the automata nothing goes; a block's automaton finds passages wherever they stand."""
+    shard = substring.compiled([b"a b c".split(), b"b c d".split()])
+    assert substring.covered(*shard, b"x a b c d x b c d".split()).tolist() == [False, True, True, True, True, False, True, True, True]
+    assert substring.covered(*shard, b"a b d".split()) is None and substring.covered(*substring.compiled([]), [b"a"]) is None
+    some = docs.where("doc_id in (9, 10, 11)")
+    assert some.count() == 3 and substring.remove_repeats(some).where("n_removed > 0").count() == 3
+    monkeypatch.setattr(substring, "_passages", lambda window: lambda batches: iter(()))
+    assert substring.remove_repeats(some).where("n_removed > 0").count() == 0
+
+
+def test_millions_of_words(spark, monkeypatch):
+    words = [b"%x" % i for i in range(2_000_000)]
+    pieces = [words[i : i + 1034] for i in range(0, 1_500_000, 1000)]
+    assert substring.covered(*substring.compiled([words[-40:], *pieces]), words).sum() == 1_500_000 + 34 + 40
+    monkeypatch.setattr(substring, "PIECE", 7)
+    texts = [cases.prose(300, 1), cases.prose(40, 2) + " " + cases.prose(300, 1) + " end"]
+    out = substring.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [(r.doc_id, r.n_removed) for r in out.orderBy("doc_id").collect()] == [(0, 300), (1, 300)]
+
+
 def test_substring_texts(docs, empty):
     row = substring.remove_repeats(docs.where("doc_id = 10 or doc_id = 11")).where("doc_id = 11").head()
     assert row.kept_text == cases.prose(30, 6) and row.n_removed == 60
     assert substring.remove_repeats(empty).count() == 0
 
 
-def brute_lines(rows, m=2):
+def brute_lines(rows, m=2, long=50):
     """rows: distinct (doc_id, text); text -> kept text."""
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
     full = {k: [(p, strip(x)) for p, x in enumerate(t.split("\n")) if strip(x)] for k, t in rows.items()}
     seen, gone = {}, {k: set() for k in rows}
     for k in sorted(rows, key=lambda k: (k[0] is not None, k[0] or 0, k[1])):
-        for i in range(len(full[k]) - m + 1):
-            run = tuple(x for _, x in full[k][i : i + m])
-            if seen.setdefault(run, (k, i)) != (k, i):
-                gone[k].update(p for p, _ in full[k][i : i + m])
+        for i, (p, x) in enumerate(full[k]):
+            run = tuple(y for _, y in full[k][i : i + m])
+            if len(run) == m and seen.setdefault(run, (k, i)) != (k, i):
+                gone[k].update(q for q, _ in full[k][i : i + m])
+            if len(words(x)) >= long and seen.setdefault(x, (k, i)) != (k, i):
+                gone[k].add(p)
     return {k: (len(full[k]), len(gone[k]), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[k])) for k, t in rows.items()}
 
 
-@pytest.mark.parametrize("m", [2, 3])
-def test_lines(clashing, empty, m):
+@pytest.mark.parametrize(("m", "long"), [(2, 50), (3, 50), (2, 9)])
+def test_lines(clashing, empty, m, long):
     rows = clashing.select("doc_id", F.xxhash64("text").alias("h"), "text").where("text is not null").collect()
-    want = brute_lines({(r.doc_id, r.h): r.text for r in rows}, m)
-    out = linededup.dedup_lines(clashing, m)
+    want = brute_lines({(r.doc_id, r.h): r.text for r in rows}, m, long)
+    out = linededup.dedup_lines(clashing, m, long)
     assert set(out.columns) == set(clashing.columns) | {"n_removed"}
     got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out.where("text is not null").collect())
     assert got == Counter((r.doc_id, *want[r.doc_id, r.h]) for r in rows)
@@ -171,6 +194,26 @@ def test_lines(clashing, empty, m):
     assert linededup.runs(clashing).where("doc = 13").head().n_lines == 12
 
 
+def test_levels_are_the_suffix_array(spark):
+    """At every length: who shares a prefix, in the order of the line ids' pairs; doubling ends with the repeats."""
+    texts = ["\n".join(x) for x in ("abcabcabd", "zabcabc", "qq", "", "abcabcabd", "aaaaaaa")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = {i: t.split("\n") if t else [] for i, t in enumerate(texts)}
+    lengths = []
+    for n, level in linededup.levels(df):
+        lengths.append(n)
+        have = Counter(tuple(x[i : i + n]) for x in lines.values() for i in range(len(x) - n + 1))
+        rank = {(r.doc, r.i): r["rank"] for r in level.collect()}
+        assert set(rank) == {(d, i) for d, x in lines.items() for i in range(len(x) - n + 1) if have[tuple(x[i : i + n])] > 1}
+        by = {}
+        for (d, i), r in rank.items():
+            assert by.setdefault(r, tuple(lines[d][i : i + n])) == tuple(lines[d][i : i + n])
+        assert len(set(by.values())) == len(by)
+    assert lengths == [1, 2, 4, 8]
+    n = {(r.doc, r.i): r.n for r in linededup.later_copies(df).collect()}
+    assert n[4, 0] == 8 and n[4, 1] == 8 and n[1, 1] == 4 and n[5, 1] == 4 and n[5, 5] == 2 and (0, 0) not in n
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, sf_dir, name):
     assert difference(spark, sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name], connect(sf_dir)) == ""
