@@ -28,10 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import staged, table
+from ._common import SPACE, staged, table
 
-BLANK = r"^[\x20\x09-\x0D]*$"
-ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 #: Lines of a run, and words of a single line, that count as a passage.
 MIN_LINES, LONG_WORDS = 2, 50
 NODE = ["doc", "hash", "i"]
@@ -41,10 +39,10 @@ def line_ids(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc, hash, i, pos, id, id2, long): a row per line that isn't blank; i counts those lines, pos all of them; two hashes name a line."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
     keyed = keyed.select("doc", F.xxhash64("text").alias("hash"), F.split("text", "\n").alias("lines"))
-    full = F.filter(F.transform("lines", lambda x, p: F.struct(p.alias("pos"), x.alias("line"))), lambda s: ~s["line"].rlike(BLANK))
-    rows = keyed.select("doc", "hash", F.posexplode(full).alias("i", "s"))
-    rows = rows.select("doc", "hash", "i", F.col("s.pos").alias("pos"), F.regexp_replace("s.line", ENDS, "").alias("line"))
-    words = F.when(F.length("line") >= 2 * long_words - 1, F.size(F.split("line", "[\\x20\\x09-\\x0D]+")) >= long_words).otherwise(False)
+    full = F.filter(F.transform("lines", lambda x, p: F.struct(p.alias("pos"), F.trim(x, F.lit(SPACE)).alias("line"))), lambda s: s["line"] != "")
+    rows = keyed.select("doc", "hash", F.posexplode(full).alias("i", "s")).select("doc", "hash", "i", "s.pos", "s.line")
+    some = f"^(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{{long_words - 1}}}[^\\x20]"
+    words = (F.length("line") >= 2 * long_words - 1) & F.col("line").rlike(some)
     return rows.select("doc", "hash", "i", "pos", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"), words.alias("long"))
 
 
@@ -58,7 +56,7 @@ def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
 def levels(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> Iterator[tuple[int, DataFrame]]:
     """(n, level) for n = 1, 2, 4, ... as far as repeats go, and min_lines among them: (doc, hash, i, rank, long) of the suffixes whose
     first n lines occur twice or more; equal prefixes have equal ranks, and ranks are in order."""
-    lines = line_ids(docs, long_words).select(*NODE, "id", "id2", "long").distinct()
+    lines = staged(line_ids(docs, long_words).select(*NODE, "id", "id2", "long"), "lines").distinct()
     level, n = staged(_ranked(lines, ["id", "id2"]).select(*NODE, "rank", "long"), "suffixes"), 1
     while not level.isEmpty():
         yield n, level
