@@ -4,9 +4,9 @@
    anchor: equal windows have equal anchors, and about one position in fifteen is one. Anchor counts are
    added up before the shuffle; an anchor that occurs once clears all its windows.
 2. Confirmation. For anchors that recur, the hashes of their windows meet under the anchor, and windows
-   found twice or more are confirmed; the first of them by (row, place) represents it. Windows of anchors with
-   more than `HOT` occurrences go one by one: they are counted by partial aggregation and get their
-   representative by a salted join, so no task holds them all.
+   found twice or more are confirmed; the first of them by (row, place) represents it. Anchors with more than
+   `HOT` occurrences don't meet in one task: their windows are counted where they are read, the counts are
+   added up, and the occurrences get the representatives of their anchor by a salted join.
 3. Automata. Documents are dealt into blocks of about `BLOCK_WORDS` words. For every block the passages that its
    documents share with others, as far as they are confirmed, are cut out of their representatives' texts and
    shipped to it, once a block. The block compiles them into one Aho-Corasick automaton (a shard) over word
@@ -119,7 +119,7 @@ def _anchor_rows(window: int):
 
 
 def _window_rows(window: int):
-    """Rows (gram, hot, key, start, hashes) of the windows whose anchors recur; a hot row holds one window."""
+    """Rows (gram, hot, key, start, hashes) of the windows whose anchors recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(window)
@@ -138,9 +138,8 @@ def _window_rows(window: int):
                 for g, hot, s, e in zip(gram.tolist(), hots[where].tolist(), starts.tolist(), np.r_[starts[1:], len(at)].tolist()):
                     if grams[np.searchsorted(grams, g) % len(grams)] != g:
                         continue
-                    for x, y in [(i, i + 1) for i in range(s, e)] if hot else [(s, e)]:
-                        for name, value in zip(out, (int(hashes[x]) if hot else g, hot, key, x, hashes[x:y].tobytes())):
-                            out[name].append(value)
+                    for name, value in zip(out, (g, hot, key, s, hashes[s:e].tobytes())):
+                        out[name].append(value)
             if out["key"]:
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
@@ -203,6 +202,41 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, key, start, hashes): every window hash under a gram, how often the batch has it, and its first (key, start)."""
+    for b in batches:
+        n = np.array([len(x) for x in b.column(3).to_pylist()], dtype=np.int64) // 8
+        h = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + b.column(2).to_numpy()[row]
+        g, key = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+        order = np.lexsort((at, key, h, g))
+        first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]) if len(h) else order
+        lead = order[first]
+        yield pa.record_batch([*(pa.array(x) for x in (g[lead], h[lead], np.diff(np.r_[first, len(h)]), key[lead])), pa.array(at[lead].astype(np.int32))], names=["gram", "hash", "n", "key", "start"])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, start, hashes, leads array<struct<hash, key, start>>): NEED of the windows that have a lead."""
+    for b in batches:
+        parts = []
+        for key, start, blob, leads in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            h, own = np.frombuffer(blob, dtype=np.int64), leads.values
+            hashes, reps, starts = (own.field(i).to_numpy() for i in range(3))
+            order = np.argsort(hashes)
+            at = np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)
+            hit = np.flatnonzero(hashes[order][at] == h)
+            if not len(hit):
+                continue
+            rep, low = reps[order][at[hit]], starts[order][at[hit]]
+            new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (rep[1:] != rep[:-1]) | (np.diff(low) != 1)])
+            size = np.diff(np.r_[new, len(hit)])
+            parts.append((np.full(len(new), key), rep[new], start + hit[new] - low[new], low[new], low[new] + size))
+        if parts:
+            arrays = [np.concatenate(x) for x in zip(*parts)]
+            yield pa.record_batch([pa.array(x.astype(np.int64 if i < 2 else np.int32)) for i, x in enumerate(arrays)], names=["key", "rep", "delta", "low", "high"])
+
+
 def needs(keyed: DataFrame, window: int) -> tuple[DataFrame, int]:
     """(rows, words): NEED, the runs of windows of keyed (key, text) whose word sequence starts elsewhere too; and about how many words there are."""
     spark = keyed.sparkSession
@@ -214,11 +248,13 @@ def needs(keyed: DataFrame, window: int) -> tuple[DataFrame, int]:
     rows = staged(some.mapInArrow(_window_rows(window), "gram long, hot boolean, key long, start int, hashes binary"), "windows")
     cold = rows.where("not hot").select("gram", "key", "start", "hashes").repartition(n_partitions(spark), "gram").sortWithinPartitions("gram")
     cold = cold.mapInArrow(_confirmed, NEED)
-    hot = rows.where("hot").select("gram", "key", "start", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).alias("salt"))
-    lead = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("lead")).where("n > 1")
-    lead = lead.select("gram", "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
-    hot = hot.join(lead, ["gram", "salt"]).select("key", F.col("lead.key").alias("rep"), (F.col("start") - F.col("lead.start")).alias("delta"), F.col("lead.start").alias("low"), (F.col("lead.start") + 1).alias("high"))
-    return cold.union(hot), words
+    hot = rows.where("hot").select("gram", "key", "start", "hashes", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).alias("salt"))
+    counted = hot.mapInArrow(_counted, "gram long, hash long, n long, key long, start int")
+    lead = counted.groupBy("gram", "hash").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start")).alias("lead")).where("n > 1")
+    lead = lead.groupBy("gram").agg(F.collect_list(F.struct("hash", "lead.key", "lead.start")).alias("leads"))
+    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    led = hot.join(lead, ["gram", "salt"]).select("key", "start", "hashes", "leads").mapInArrow(_led, NEED)
+    return cold.union(led), words
 
 
 def _passages(window: int):
@@ -299,7 +335,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> Dat
     rows, words = needs(keyed.select("key", "text"), window)
     block = F.pmod(F.col("key"), F.lit(max(1, -(-words // BLOCK_WORDS))))
     wanted = rows.withColumn("block", block).groupBy("block", "rep").agg(F.collect_list(F.struct("key", "delta", "low", "high")).alias("needs"))
-    cut = wanted.join(keyed.select(F.col("key").alias("rep"), "text"), "rep").select("block", "text", "needs").mapInArrow(_passages(window), "block long, text string")
+    wanted = staged(wanted, "wanted")
+    reps = keyed.select(F.col("key").alias("rep"), "text").join(staged(wanted.select("rep").distinct(), "reps"), "rep", "left_semi")
+    cut = wanted.join(reps, "rep").select("block", "text", "needs").mapInArrow(_passages(window), "block long, text string")
     passages = cut.select("block", F.lit(True).alias("passage"), F.lit(None).cast("long").alias("doc_id"), "text")
     both = passages.union(keyed.select(block.alias("block"), F.lit(False), "doc_id", "text"))
     dealt = both.repartition(n_partitions(docs.sparkSession), "block").sortWithinPartitions("block", F.desc("passage"))
