@@ -53,13 +53,15 @@ def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.join(ranks, by)
 
 
-def levels(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> Iterator[tuple[int, DataFrame]]:
-    """(n, level) for n = 1, 2, 4, ... as far as repeats go, and min_lines among them: (doc, hash, i, rank, long) of the suffixes whose
+def levels(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, depth: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """(n, level) for n = 1, 2, 4, ... as far as repeats go (or to n = depth), and min_lines among them: (doc, hash, i, rank, long) of the suffixes whose
     first n lines occur twice or more; equal prefixes have equal ranks, and ranks are in order."""
     lines = staged(line_ids(docs, long_words).select(*NODE, "id", "id2", "long"), "lines").distinct()
     level, n = staged(_ranked(lines, ["id", "id2"]).select(*NODE, "rank", "long"), "suffixes"), 1
     while not level.isEmpty():
         yield n, level
+        if depth and n >= depth:
+            return
         step = min(n, min_lines - n) if n < min_lines else n
         ahead = level.select("doc", "hash", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
         same = F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.i") == F.col("b.i"))
@@ -67,10 +69,10 @@ def levels(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_W
         level, n = staged(_ranked(pairs, ["r0", "r1"]).select(*NODE, "rank", "long"), "suffixes"), n + step
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, depth: int | None = None) -> DataFrame:
     """(doc, hash, i, n): n lines from i on also start earlier; n is the longest of the levels at which they do."""
     found = None
-    for n, level in levels(docs, min_lines, long_words):
+    for n, level in levels(docs, min_lines, long_words, depth):
         if 1 < n < min_lines:
             continue
         level = level if n >= min_lines else level.where("long")
@@ -88,9 +90,12 @@ def _gone(docs: DataFrame, min_lines: int, long_words: int) -> DataFrame:
     return copies.select("doc", "hash", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs with the lines of later copies out of `text`, and n_lines, n_removed (long), which replace columns of those names."""
-    gone = later_copies(docs, min_lines, long_words).groupBy("doc", "hash").agg(F.collect_list(F.struct("i", "n")).alias("gone"))
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, depth: int | None = None) -> DataFrame:
+    """docs with the lines of later copies out of `text`, and n_lines, n_removed (long), which replace columns of those names.
+
+    depth = min_lines gives the same texts in fewer jobs: all lines of a longer later copy lie in later copies of min_lines lines.
+    """
+    gone = later_copies(docs, min_lines, long_words, depth).groupBy("doc", "hash").agg(F.collect_list(F.struct("i", "n")).alias("gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.struct(*kept).alias("row"))
     both = keyed.alias("a").join(gone.alias("b"), F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.hash") == F.col("b.hash")), "left")

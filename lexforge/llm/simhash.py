@@ -366,7 +366,7 @@ def _keys() -> list[Column]:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots): (_k1, _k2, doc_id, fp) of every row of docs, and (node, root) of the fingerprints that links connect.
+    """(rows, roots): (_k1, _k2, doc_id, fp) of every row of docs, and (node, root) of the fingerprints that links connect; root: a number.
 
     Linked are texts of one wide fingerprint, texts within SURE bits, and texts within WIDE bits whose Jaccard similarity is `similar`.
     """
@@ -378,30 +378,35 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) ->
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1).cast(pa.large_binary())]
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     texts = docs.select(*_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(texts.mapInArrow(prints, "_k1 long, _k2 long, doc_id long, fp binary"), "wide")
     met = staged(wide_links(rows.select("fp").distinct()), "met").groupBy("a", "b").agg(F.min("d").alias("d"))
-    met = staged(met, "candidates")
+    ends = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
+    nodes = staged(ends.select("fp", F.monotonically_increasing_id().alias("node")), "nodes")
+    number = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
+    met = staged(met.join(number("a"), "a").join(number("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "d"), "candidates")
     sure = connected_components(met.where(F.col("d") <= SURE))
     root = lambda side: sure.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     open_ = met.where(F.col("d") > SURE).join(root("a"), "a", "left").join(root("b"), "b", "left")
     open_ = staged(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open")
-    need = open_.select(F.col("a").alias("fp")).union(open_.select("b")).distinct()
-    one = rows.join(need, "fp").groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("fp", "k.*")
-    sets = texts.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).select("fp", "text").dropDuplicates(["fp"])
-    sets = staged(sets.mapInArrow(shingles, "fp binary, set array<long>"), "shingles")
-    side = lambda name, value: sets.select(F.col("fp").alias(name), F.col("set").alias(value))
-    alike = open_.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike(similar), "a binary, b binary")
-    return rows, connected_components(alike.union(sure.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    need = nodes.join(open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct(), "node")
+    one = rows.join(need, "fp").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("node", "k.*")
+    sets = texts.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).select("node", "text").dropDuplicates(["node"])
+    sets = staged(sets.mapInArrow(shingles, "node long, set array<long>"), "shingles")
+    side = lambda name, value: sets.select(F.col("node").alias(name), F.col("set").alias(value))
+    alike = open_.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike(similar), "a long, b long")
+    linked = connected_components(alike.union(sure.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    linked = linked.union(linked.select("root", "root").distinct())  # a root stands for itself too
+    return rows, linked.join(nodes, "node").select(F.col("fp").alias("node"), "root")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of every group of near duplicates: the one of smallest doc_id (null last)."""
     rows, roots = similar_groups(docs, words, similar)
-    group = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_k1", "_k2", "doc_id", F.coalesce("root", "fp").alias("group"))
-    first = group.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2")).alias("s"))
+    group = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_k1", "_k2", "doc_id", F.col("root"), F.when(F.col("root").isNull(), F.col("fp")).alias("alone"))
+    first = group.groupBy("root", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2")).alias("s"))
     kept = staged(first.select("s._k1", "s._k2"), "kept")
     gone = staged(rows.select("_k1", "_k2").join(kept, ["_k1", "_k2"], "left_anti").distinct(), "gone")
     again = staged(rows.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k1", "_k2").join(kept, ["_k1", "_k2"], "left_semi"), "again")

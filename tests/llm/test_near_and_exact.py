@@ -111,7 +111,7 @@ def test_near_copies_equal_brute_force(spark):
     texts.append(" ".join(hub))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows, roots = simhash.similar_groups(df)
-    group = {r.doc_id: bytes(r.root or r.fp) for r in rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").collect()}
+    group = {r.doc_id: r.fp if r.root is None else r.root for r in rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").collect()}
     sets = [shingles(t) for t in texts]
     alike = lambda a, b, least=0.8: len(a & b) >= least * len(a | b)
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
@@ -190,6 +190,8 @@ def test_lines(clashing, empty, m, long):
     got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out.where("text is not null").collect())
     assert got == Counter((r.doc_id, *want[r.doc_id, r.h]) for r in rows)
     assert out.where("doc_id = 4").head().text is None
+    short = linededup.dedup_lines(clashing, m, long, depth=m)
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in short.where("text is not null").collect()) == got
     assert linededup.dedup_lines(empty).count() == 0
     assert linededup.runs(clashing).where("doc = 13").head().n_lines == 12
 
