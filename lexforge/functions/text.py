@@ -17,10 +17,11 @@ from pyspark.sql.types import StringType
 TOKEN = "[0-9A-Za-zÅÄÖåäöÉéÜü]+"
 WORD_TOKEN = "[0-9a-zåäö+#]+"
 SEPARATORS = r"[\s\-_/(),.;:]+"
-SPACE = r"[\s\x{00A0}]+"
+SPACE = r"[\s\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-URL = r"https?://[^\s<>]+"
-PHONE = r"\+?[0-9][0-9 ()-]{6,}[0-9]"
+LINK = r"https?://[^\s<>]+"
+URL = LINK + r"|(?i:www\.)[^\s<>]+"
+PHONE = r"(^|[^0-9A-Za-z_])(?:\+46|0)[0-9][0-9 ()/-]{6,}[0-9]"
 FUZZY_LIMITS = ((9, 2), (6, 1))
 
 
@@ -115,23 +116,30 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def pair_signal(a: Column, b: Column) -> Column:
-    """struct(signal, specificity): 4 equal, 3 one holds the other (5 or more letters), 2 shared beginning
-    (5 or more letters and 65 % of the longer), 1 within the fuzzy limit, 0 none."""
+    """struct(signal, specificity): 4 equal, 3 one holds the other (5 or more letters), 2 a shared beginning (6 or more
+    letters both, 5 or more shared, 65 % of the shorter), 1 within the lesser fuzzy limit (6 or more both), 0 none."""
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    prefix = common_prefix(a, b)
-    near = F.least(fuzzy_limit(a), fuzzy_limit(b))
-    fuzzy = (near > 0) & (F.levenshtein(a, b) <= near)
+    prefix, edits = common_prefix(a, b), F.levenshtein(a, b)
     signal = (
         F.when(a == b, 4)
         .when((shorter >= 5) & (F.contains(a, b) | F.contains(b, a)), 3)
-        .when((prefix >= 5) & (prefix >= 0.65 * longer), 2)
-        .when(fuzzy, 1)
+        .when((shorter >= 6) & (prefix >= 5) & (prefix >= 0.65 * shorter), 2)
+        .when((shorter >= 6) & (edits <= F.least(fuzzy_limit(a), fuzzy_limit(b))), 1)
         .otherwise(0)
     )
-    specificity = F.when(signal == 2, prefix).when(signal > 0, shorter).otherwise(0)
+    specificity = F.when(signal == 2, prefix).when(signal == 1, longer - edits).when(signal > 0, shorter).otherwise(0)
     return F.struct(signal.alias("signal"), specificity.alias("specificity"))
 
 
+def deletions(x: Column, times: int = 2) -> Column:
+    """The word and all it becomes by leaving out up to `times` letters: words within so many edits share one."""
+    out = F.array(x)
+    for _ in range(times):
+        without = F.flatten(F.transform(out, lambda w: F.transform(positions(F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+        out = F.array_distinct(F.concat(out, without))
+    return out
+
+
 def fuzzy_substring(needle: Column, text: Column) -> Column:
     """Smallest edit distance of needle to a window of text of its length give or take two (three at least)."""
     n = F.length(needle)
@@ -163,13 +171,14 @@ def direct_match(query: Column, label: Column) -> Column:
 def strip_markup(x: Column) -> Column:
     """Character references decoded, tags and URLs dropped, white space collapsed."""
     out = F.regexp_replace(unescape(x), "<[^>]*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, URL, " "), SPACE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, LINK, " "), SPACE, " "))
 
 
 def scrub(x: Column) -> Column:
     """E-mail addresses, URLs and phone numbers become a space."""
-    for pattern in (EMAIL, URL, PHONE):
+    for pattern in (EMAIL, URL):
         x = F.regexp_replace(x, pattern, " ")
+    x = F.regexp_replace(x, PHONE, "$1 ")
     return F.trim(F.regexp_replace(x, SPACE, " "))
 
 

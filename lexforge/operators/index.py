@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.store import small
+
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 EXACT_BOOST = 1_000_000.0
@@ -33,15 +35,14 @@ def contribution(idf_: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
 def postings(docs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., term, doc_id, tf, df, dl, weight): a document's score for a query is the sum of its weights.
 
-    One shuffle groups tokens by document; document frequencies are added up before the shuffle by term and
-    come back by an equi-join on the term, which adaptive execution can split for frequent ones. The
-    statistics are one row (or one per lane) and are broadcast.
+    A document's length travels with its tokens, so one shuffle groups tokens by document; document frequencies
+    are added up before the shuffle by term and come back by an equi-join on the term, which adaptive
+    execution can split for frequent ones. The statistics are one row (or one per lane) and are broadcast.
     """
     keys = by or []
-    tf = term_frequencies(docs.select(*keys, "doc_id", "tokens"), keys)
+    tf = docs.select(*keys, "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*keys, "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = docs.select(*keys, "doc_id", F.size("tokens").alias("dl"))
-    out = tf.join(df, [*keys, "term"]).join(sizes, [*keys, "doc_id"])
+    out = tf.join(df, [*keys, "term"])
     stats = corpus_statistics(docs, keys)
     out = out.join(F.broadcast(stats), keys) if keys else out.crossJoin(F.broadcast(stats))  # one row
     weight = contribution(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"))
@@ -56,7 +57,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(queries: DataFrame, index: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(query_id, by..., doc_id, score) of all documents that share a term with a query."""
     keys = by or []
-    hits = query_terms(queries).join(index.select(*keys, "term", "doc_id", "weight"), "term")
+    hits = index.select(*keys, "term", "doc_id", "weight").join(small(query_terms(queries)), "term")
     return hits.groupBy("query_id", *keys, "doc_id").agg(F.sum("weight").alias("score"))
 
 

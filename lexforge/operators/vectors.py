@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,48 +89,57 @@ def standardised(df: DataFrame, columns: list[str], floor: float = 1e-6) -> Data
     return out.select(*(c for c in df.columns if c not in columns), *(((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in columns))
 
 
-def passive_aggressive(rows: DataFrame, margin: float = 1.0) -> DataFrame:
-    """(cls, feature, w) of online passive-aggressive training over rows (row, cls, features map), in hash order.
+def passive_aggressive(rows: DataFrame, margin: float = 1.0, epochs: int = 3, most: int = 20_000, seed: str = "pa") -> DataFrame:
+    """(cls, feature, w) of online passive-aggressive training over rows (row, cls, features map).
+
+    Starts from the classes' positive vectors (unit sums of their rows), takes unit rows, and goes through them
+    `epochs` times, each in its own hash order. Each update depends on all before it, so one task must see them in
+    order: the training set is bounded, the `most` rows of smallest hash. Step length: half the hinge loss.
+    """
 
-    Each update depends on all before it, so one task must see them in order; the rows are a training set
-    of bounded size, the classes few. Step length: half the hinge loss over the squared norm."""
+    def unit(x: dict[str, float]) -> dict[str, float]:
+        norm = sum(v * v for v in x.values()) ** 0.5
+        return {f: v / norm for f, v in x.items()} if norm else {}
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights: dict[str, dict[str, float]] = {c: {} for c in sorted(set(pdf["cls"]))}
-        for _, r in pdf.sort_values("place").iterrows():
-            x = dict(r["features"])
-            score = {c: sum(w.get(f, 0.0) * v for f, v in x.items()) for c, w in weights.items()}
-            wrong = max((c for c in weights if c != r["cls"]), key=lambda c: (score[c], c), default=None)
-            if wrong is None:
-                continue
-            loss = margin - score[r["cls"]] + score[wrong]
-            norm = sum(v * v for v in x.values())
-            if loss > 0 and norm > 0:
-                for c, sign in ((r["cls"], 1.0), (wrong, -1.0)):
-                    for f, v in x.items():
-                        weights[c][f] = weights[c].get(f, 0.0) + sign * loss / (2 * norm) * v
+        own = [(str(r), c, x) for r, c, x in zip(pdf["row"], pdf["cls"], (unit(dict(x)) for x in pdf["features"])) if x]
+        own.sort(key=lambda r: r[0])
+        sums: dict[str, dict[str, float]] = {c: {} for c in sorted(set(pdf["cls"]))}
+        for _, c, x in own:
+            for f, v in x.items():
+                sums[c][f] = sums[c].get(f, 0.0) + v
+        weights = {c: unit(x) for c, x in sums.items()}
+        for epoch in range(epochs if len(weights) > 1 else 0):
+            for _, c, x in sorted(own, key=lambda r: hashlib.sha256(f"{seed}|{epoch}|{r[0]}".encode()).digest()):
+                score = {k: sum(w.get(f, 0.0) * v for f, v in x.items()) for k, w in weights.items()}
+                wrong = min((k for k in weights if k != c), key=lambda k: (-score[k], k))
+                loss = margin - score[c] + score[wrong]
+                if loss > 0:
+                    for k, sign in ((c, 1.0), (wrong, -1.0)):
+                        for f, v in x.items():
+                            weights[k][f] = weights[k].get(f, 0.0) + sign * loss / 2 * v
         out = [(c, f, v) for c, w in weights.items() for f, v in sorted(w.items())]
         return pd.DataFrame(out, columns=["cls", "feature", "w"])
 
-    placed = rows.select(F.sha2(F.col("row").cast("string"), 256).alias("place"), "cls", "features")
-    return placed.groupBy(F.lit(0).alias("all")).applyInPandas(train, "cls string, feature string, w double")
+    picked = rows.select("row", "cls", "features").orderBy(F.xxhash64("row"), "row").limit(most)
+    return picked.groupBy(F.lit(0).alias("all")).applyInPandas(train, "cls string, feature string, w double")
 
 
-def logistic(rows: DataFrame, columns: list[str], label: str, steps: int = 100, rate: float = 0.5, l2: float = 0.01) -> tuple[np.ndarray, DataFrame]:
-    """Full-batch logistic regression with class weights: each step is one aggregation, only gradients reach the driver."""
-    n, pos = rows.agg(count_rows(), F.sum(label)).head()
-    weight = F.when(F.col(label) == 1, n / (2.0 * max(pos, 1))).otherwise(n / (2.0 * max(n - pos, 1)))
-    data = rows.select(*columns, F.col(label).cast("double").alias("y"), weight.alias("cw")).persist()
-    theta = np.zeros(len(columns) + 1)
+def logistic(rows: DataFrame, columns: list[str], label: str, steps: int = 800, rate: float = 0.05, l2: float = 0.01, most: int = 50_000) -> tuple[np.ndarray, DataFrame]:
+    """Full-batch logistic regression with class weights, fitted on the driver; scores stay expressions over all rows.
 
-    def score() -> Column:
-        return sum((F.lit(float(w)) * F.col(c) for w, c in zip(theta[1:], columns)), F.lit(float(theta[0])))
-
-    for _ in range(steps):
-        e = F.col("cw") * (sigmoid(score()) - F.col("y"))
-        g = np.array(data.agg(F.sum(e), *(F.sum(e * F.col(c)) for c in columns)).head(), dtype=float) / n
+    The fit takes at most `most` rows, those of smallest hash of their values: `most` times the columns is all that is brought together.
+    """
+    fitted = rows.select(*columns, F.col(label).cast("double").alias("_y")).orderBy(F.xxhash64(*columns, "_y"), *columns, "_y").limit(most).toArrow()
+    x = np.stack([fitted.column(c).to_numpy() for c in columns], axis=1).astype(float)
+    y = fitted.column("_y").to_numpy()
+    pos, n = float((y == 1).sum()), len(y)
+    weight = np.where(y == 1, n / (2.0 * max(pos, 1)), n / (2.0 * max(n - pos, 1)))
+    theta = np.zeros(len(columns) + 1)
+    for _ in range(steps if n else 0):
+        e = weight * (1 / (1 + np.exp(-(theta[0] + x @ theta[1:]))) - y)
+        g = np.r_[e.sum(), e @ x] / n
         g[1:] += l2 * theta[1:]
         theta = theta - rate * g
-    out = rows.withColumn("p", sigmoid(score()))
-    data.unpersist()
-    return theta, out
+    score = sum((F.lit(float(w)) * F.col(c) for w, c in zip(theta[1:], columns)), F.lit(float(theta[0])))
+    return theta, rows.withColumn("p", sigmoid(score))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.counts import count_rows
 from lexforge.functions import text as T
-from lexforge.operators import graph
+from lexforge.operators import graph, store
 from lexforge.plans.registry import Tables, query
 from lexforge.plans.retrieval import ALPHABET
 
@@ -34,12 +34,10 @@ def replacement_routes(t: Tables) -> DataFrame:
 
 
 def shared_checkpoints(t: Tables) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where the session names none, to a temporary folder."""
-    import tempfile
-
+    """Checkpoints go to spark.checkpoint.dir."""
     sc = t.spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+        sc.setCheckpointDir(store.shared_dir(t.spark))
 
 
 @query("""WITH s AS (SELECT DISTINCT lower(p_name) AS surface, p_brand AS id, p_type = 'PROMO' AS canonical FROM part), a AS (SELECT surface, bool_or(canonical) AS has FROM s GROUP BY surface), k AS (SELECT s.* FROM s JOIN a USING (surface) WHERE canonical OR NOT has), o AS (SELECT surface, count(DISTINCT id) AS n, min(id) AS id, bool_or(canonical) AS c FROM k GROUP BY surface)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.counts import count_rows
 from lexforge.functions import text as T
-from lexforge.operators import index, metrics
+from lexforge.operators import index, metrics, store
 from lexforge.plans.registry import Tables, query
-from lexforge.plans.retrieval import DOCS_SQL, FUSE_SQL, TOP_SQL, bm25_topk, char_gram_bm25, documents, questions, rounded
+from lexforge.plans.retrieval import DOCS_SQL, FUSE_SQL, TOP_SQL, bm25_topk, char_gram_bm25, documents, posted, questions, rounded
 from lexforge.plans.text_pack import FOUR_SQL, four_grams
 
 JUDGED_SQL = f"{FOUR_SQL}, jd AS (SELECT DISTINCT item_id AS query_id, doc_id FROM g JOIN b USING (gram))".replace("b AS (SELECT DISTINCT item_id", "b4 AS (SELECT DISTINCT item_id").replace("JOIN b USING", "JOIN b4 USING").replace("v AS (SELECT item_id", "v4 AS (SELECT item_id").replace("FROM v WHERE", "FROM v4 WHERE").replace("w AS (SELECT doc_id,", "w4 AS (SELECT doc_id,").replace("FROM w WHERE", "FROM w4 WHERE").replace("g AS (SELECT DISTINCT doc_id", "g4 AS (SELECT DISTINCT doc_id").replace("FROM g JOIN", "FROM g4 JOIN")
@@ -99,14 +99,14 @@ fe AS (SELECT top.query_id, top.doc_id, CAST(top.rank AS INTEGER) AS rank, round
 def features(t: Tables) -> DataFrame:
     """Features of the first five candidates of each query: score ratio, shared tokens, coverage, coverage by idf."""
     docs, asked = documents(t), questions(t)
-    posted = index.postings(docs)
-    top = rounded(index.ranked(index.scores(asked, posted), 5), "score")
+    own = posted(t)
+    top = store.written(rounded(index.ranked(index.scores(asked, own), 5), "score"), "top")
     stats = index.corpus_statistics(docs)
-    df = posted.groupBy("term").agg(F.first("df").alias("df"))
+    df = own.groupBy("term").agg(F.first("df").alias("df"))
     terms = index.query_terms(asked).join(df, "term", "left").crossJoin(F.broadcast(stats))  # one row
     weigh = terms.select("query_id", "term", index.idf(F.col("n_docs"), F.coalesce("df", F.lit(0))).alias("idf"))
     whole = weigh.groupBy("query_id").agg(count_rows().alias("n_terms"), F.sum("idf").alias("all_idf"))
-    shared = top.select("query_id", "doc_id").join(weigh, "query_id").join(posted.select("term", "doc_id"), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(count_rows().alias("shared"), F.sum("idf").alias("idf"))
+    shared = top.select("query_id", "doc_id").join(weigh, "query_id").join(own.select("term", "doc_id"), ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(count_rows().alias("shared"), F.sum("idf").alias("idf"))
     j = judgments(t).withColumn("relevant", F.lit(True))
     out = top.join(shared, ["query_id", "doc_id"]).join(whole, "query_id").join(j, ["query_id", "doc_id"], "left")
     ratio = F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)
@@ -150,9 +150,9 @@ SELECT query_id, doc_id, round(sum(idf * ln(6.0 / (1 + local_df))), 6) AS contra
 def local_contrast(t: Tables) -> DataFrame:
     """What of a candidate's evidence the other four lack: document counts inside the first five."""
     docs, asked = documents(t), questions(t)
-    posted = index.postings(docs)
-    top = index.ranked(index.scores(asked, posted), 5).select("query_id", "doc_id")
-    hits = top.join(index.query_terms(asked), "query_id").join(posted.select("term", "doc_id", "df"), ["term", "doc_id"]).crossJoin(F.broadcast(index.corpus_statistics(docs)))  # one row
+    own = posted(t)
+    top = index.ranked(index.scores(asked, own), 5).select("query_id", "doc_id")
+    hits = top.join(index.query_terms(asked), "query_id").join(own.select("term", "doc_id", "df"), ["term", "doc_id"]).crossJoin(F.broadcast(index.corpus_statistics(docs)))  # one row
     idf = index.idf(F.col("n_docs"), F.col("df"))
     local = hits.select("query_id", "doc_id", idf.alias("idf"), count_rows().over(Window.partitionBy("query_id", "term")).alias("local_df"))
     s = lambda x: F.round(F.sum(x), 6)

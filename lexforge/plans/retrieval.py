@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.operators import fusion, index
+from lexforge.operators import fusion, index, store
 from lexforge.plans.registry import Tables, query
 
 ALPHABET = T.TOKEN
@@ -34,6 +34,11 @@ def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("tokens"), T.norm(F.col("text")).alias("surface"))
 
 
+def posted(t: Tables) -> DataFrame:
+    """The compiled index of documents, read from the store."""
+    return store.stored(t.documents, "postings", lambda: index.postings(documents(t)))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -46,14 +51,14 @@ SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank
 def bm25_topk(t: Tables) -> DataFrame:
     """BM25 top 10 of every benchmark passage over all documents, with the boost for exact surfaces."""
     docs, asked = documents(t), questions(t)
-    scored = index.with_exact(index.scores(asked, index.postings(docs)), index.exact_hits(asked, docs))
+    scored = index.with_exact(index.scores(asked, posted(t)), index.exact_hits(asked, docs))
     return rounded(index.ranked(scored, 10), "score")
 
 
 @query(f"WITH {DOCS_SQL} SELECT term, doc_id, tf, df, dl, round(weight, 6) AS weight FROM post")
 def bm25_postings(t: Tables) -> DataFrame:
     """The compiled index: the share of every term in every document's score."""
-    return rounded(index.postings(documents(t)), "weight").withColumn("dl", F.col("dl").cast("long"))
+    return rounded(posted(t), "weight").withColumn("dl", F.col("dl").cast("long"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM tf) AS n_postings, (SELECT max(df) FROM df) AS max_df FROM st")
@@ -72,7 +77,7 @@ def bm25_rank_all(t: Tables) -> DataFrame:
     """Unfiltered ranking: documents without a shared term rank behind, by doc_id."""
     docs, asked = documents(t), questions(t)
     every = asked.select("query_id").crossJoin(docs.select("doc_id"))  # a stated query set against all documents
-    scored = every.join(index.scores(asked, index.postings(docs)), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = every.join(index.scores(asked, posted(t)), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
     return rounded(scored.withColumn("rank", F.row_number().over(w)), "score").select("query_id", "doc_id", "score", "rank")
 
@@ -82,7 +87,7 @@ u AS (SELECT item_id AS query_id, (SELECT count(*) FROM q WHERE q.query_id = ite
 SELECT u.query_id, unique_terms, coalesce(matched_terms, 0) AS matched_terms, coalesce(postings_visited, 0) AS postings_visited, coalesce(candidates, 0) AS candidates FROM u LEFT JOIN h ON u.query_id = h.query_id""")
 def query_diagnostics(t: Tables) -> DataFrame:
     """What answering each query touches."""
-    return index.diagnostics(questions(t), index.postings(documents(t)))
+    return index.diagnostics(questions(t), posted(t))
 
 
 @query(f"""WITH {DOCS_SQL}, r AS (SELECT query_id, doc_id, {TOP_SQL} AS rank FROM sc WHERE score > 0)
@@ -90,9 +95,9 @@ SELECT r.query_id, r.doc_id, string_agg(q.term, ' ' ORDER BY q.term) AS terms FR
 def support_terms(t: Tables) -> DataFrame:
     """The terms behind each of the first five results."""
     docs, asked = documents(t), questions(t)
-    posted = index.postings(docs)
-    top = index.ranked(index.scores(asked, posted), 5)
-    return index.support_terms(asked, posted, top).withColumn("terms", F.array_join("terms", " "))
+    own = posted(t)
+    top = index.ranked(index.scores(asked, own), 5)
+    return index.support_terms(asked, own, top).withColumn("terms", F.array_join("terms", " "))
 
 
 @query(f"""WITH {DOCS_SQL}, r AS (SELECT query_id, doc_id, {TOP_SQL} AS rank FROM sc WHERE score > 0)
@@ -100,9 +105,9 @@ SELECT r.query_id, r.doc_id, q.term, round(weight, 6) AS weight FROM r JOIN q ON
 def term_contributions(t: Tables) -> DataFrame:
     """The score of each first result, term by term."""
     docs, asked = documents(t), questions(t)
-    posted = index.postings(docs)
-    top = index.ranked(index.scores(asked, posted), 1).select("query_id", "doc_id")
-    out = top.join(index.query_terms(asked), "query_id").join(posted.select("term", "doc_id", "weight"), ["term", "doc_id"])
+    own = posted(t)
+    top = index.ranked(index.scores(asked, own), 1).select("query_id", "doc_id")
+    out = top.join(index.query_terms(asked), "query_id").join(own.select("term", "doc_id", "weight"), ["term", "doc_id"])
     return rounded(out, "weight").select("query_id", "doc_id", "term", "weight")
 
 
@@ -122,7 +127,7 @@ r AS (SELECT query_id, lane, doc_id, score, row_number() OVER (PARTITION BY quer
 
 def lanes(t: Tables, k: int) -> DataFrame:
     docs = documents(t).withColumnRenamed("lang", "lane")
-    return index.ranked(index.scores(questions(t), index.postings(docs, ["lane"]), ["lane"]), k, ["lane"])
+    return index.ranked(index.scores(questions(t), store.stored(t.documents, "lane-postings", lambda: index.postings(docs, ["lane"])), ["lane"]), k, ["lane"])
 
 
 @query(f"WITH {LANES_SQL} SELECT query_id, lane, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
@@ -159,7 +164,7 @@ def char_gram_bm25(t: Tables) -> DataFrame:
     def grams(df: DataFrame) -> DataFrame:
         return df.withColumn("tokens", F.flatten(F.transform("tokens", lambda w: T.char_ngrams(w, 4))))
 
-    return rounded(index.ranked(index.scores(grams(questions(t)), index.postings(grams(documents(t)))), 10), "score")
+    return rounded(index.ranked(index.scores(grams(questions(t)), store.stored(t.documents, "gram-postings", lambda: index.postings(grams(documents(t))))), 10), "score")
 
 
 PHRASE_SQL = f"""
@@ -175,7 +180,7 @@ r AS (SELECT query_id, doc_id, round(score, 6) AS score, {TOP_SQL} AS rank FROM
 def phrase_max(t: Tables) -> DataFrame:
     """Every phrase (a turn) is a document; its owner (the conversation) takes the best phrase's score."""
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), T.tokens(F.col("text")).alias("tokens"))
-    best = index.scores(questions(t), index.postings(turns)).groupBy("query_id", F.expr("doc_id div 1000").alias("doc_id")).agg(F.max("score").alias("score"))
+    best = index.scores(questions(t), store.stored(t.conversations, "turn-postings", lambda: index.postings(turns))).groupBy("query_id", F.expr("doc_id div 1000").alias("doc_id")).agg(F.max("score").alias("score"))
     return rounded(index.ranked(best, 10), "score")
 
 
@@ -190,7 +195,7 @@ dl AS (SELECT d.doc_id, count(t.term) AS dl FROM (SELECT DISTINCT conv_id AS doc
 def flattened_owner(t: Tables) -> DataFrame:
     """The other document unit: all phrases of an owner as one document."""
     owners = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.flatten(F.collect_list(T.tokens(F.col("text")))).alias("tokens"))
-    return rounded(index.ranked(index.scores(questions(t), index.postings(owners)), 10), "score")
+    return rounded(index.ranked(index.scores(questions(t), store.stored(t.conversations, "owner-postings", lambda: index.postings(owners))), 10), "score")
 
 
 @query(f"""WITH {DOCS_SQL}, r AS (SELECT query_id, doc_id, score, {TOP_SQL} AS rank FROM (SELECT query_id, doc_id, sum(weight) AS score FROM q JOIN post ON q.term = post.term WHERE NOT regexp_full_match(q.term, '[0-9]+') GROUP BY query_id, doc_id))
@@ -198,12 +203,20 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 def bm25_query_without_numbers(t: Tables) -> DataFrame:
     """Pure numbers leave the query only, not the index."""
     asked = questions(t).withColumn("tokens", T.without_numbers(F.col("tokens")))
-    return rounded(index.ranked(index.scores(asked, index.postings(documents(t))), 10), "score")
+    return rounded(index.ranked(index.scores(asked, posted(t)), 10), "score")
 
 
 def two_lists(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three ranked lists to fuse: words, character 4-grams and phrases of conversations (by owner), ten each."""
-    return bm25_topk(t), char_gram_bm25(t), bm25_query_without_numbers(t)
+    return words_list(t), grams_list(t), store.written(bm25_query_without_numbers(t), "list")
+
+
+def words_list(t: Tables) -> DataFrame:
+    return store.written(bm25_topk(t), "list")
+
+
+def grams_list(t: Tables) -> DataFrame:
+    return store.written(char_gram_bm25(t), "list")
 
 
 FUSE_SQL = f"""WITH {DOCS_SQL},
@@ -228,7 +241,7 @@ f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(rank) FILTER
 SELECT query_id, doc_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, canonical ASC NULLS LAST, doc_id) AS INTEGER) AS rank FROM f""")
 def fuse_reciprocal(t: Tables) -> DataFrame:
     """Reciprocal rank fusion of words and character 4-grams."""
-    return rounded(fusion.reciprocal_ranks([bm25_topk(t), char_gram_bm25(t)]), "score", digits=9)
+    return rounded(fusion.reciprocal_ranks([words_list(t), grams_list(t)]), "score", digits=9)
 
 
 @query(f"""{FUSE_SQL}, n AS (SELECT b.query_id, b.doc_id, row_number() OVER (PARTITION BY b.query_id ORDER BY rank) AS rank FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.rank = 1) AND EXISTS (SELECT 1 FROM a WHERE a.query_id = b.query_id)),
@@ -239,7 +252,7 @@ r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORD
 SELECT query_id, doc_id, rank, list FROM r WHERE rank <= 5""")
 def fuse_slots(t: Tables) -> DataFrame:
     """The words' best result, two new ones by 4-grams, then the words' rest."""
-    return fusion.slots(bm25_topk(t), char_gram_bm25(t), 2)
+    return fusion.slots(words_list(t), grams_list(t), 2)
 
 
 @query(f"""{FUSE_SQL}, c AS (SELECT query_id, doc_id, {TOP_SQL} AS rank FROM (SELECT query_id, doc_id, sum(weight) AS score FROM q JOIN post ON q.term = post.term WHERE NOT regexp_full_match(q.term, '[0-9]+') GROUP BY query_id, doc_id) QUALIFY rank <= 10),
@@ -261,4 +274,4 @@ SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM a WHERE query_id IN
 def fuse_guarded(t: Tables) -> DataFrame:
     """Words for queries that equal a document, 4-grams for the others."""
     exact = index.exact_hits(questions(t), documents(t)).select("query_id").distinct()
-    return fusion.guarded(bm25_topk(t).select("query_id", "doc_id", "rank"), char_gram_bm25(t).select("query_id", "doc_id", "rank"), exact)
+    return fusion.guarded(words_list(t).select("query_id", "doc_id", "rank"), grams_list(t).select("query_id", "doc_id", "rank"), exact)

@@ -24,7 +24,7 @@ qs AS (SELECT doc_id * 10 AS query_id, name AS query FROM nm UNION ALL SELECT do
 nt AS (SELECT doc_id, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS term FROM nm), qt AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z]+')) AS term FROM qs),
 vt AS (SELECT DISTINCT term FROM nt), qd AS (SELECT DISTINCT term FROM qt),
 pr AS (SELECT qd.term AS q, vt.term AS v, CASE WHEN qd.term = vt.term THEN 3 WHEN length(qd.term) >= 6 AND length(vt.term) >= 6 AND (contains(qd.term, vt.term) OR contains(vt.term, qd.term)) THEN 2
-  WHEN levenshtein(qd.term, vt.term) <= CASE WHEN length(qd.term) >= 9 THEN 2 WHEN length(qd.term) >= 6 THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS signal FROM qd CROSS JOIN vt),
+  WHEN length(qd.term) >= 6 AND length(vt.term) >= 6 AND levenshtein(qd.term, vt.term) <= CASE WHEN least(length(qd.term), length(vt.term)) >= 9 THEN 2 ELSE 1 END THEN 1 ELSE 0 END AS signal FROM qd CROSS JOIN vt),
 sg AS (SELECT query_id, doc_id, max(signal) AS signal FROM (SELECT qt.query_id, nt.doc_id, signal FROM qt JOIN pr ON pr.q = qt.term JOIN nt ON nt.term = pr.v WHERE signal > 0 UNION ALL SELECT query_id, doc_id, 4 FROM qs JOIN nm ON lower(query) = lower(name)) GROUP BY query_id, doc_id)"""
 
 
@@ -42,7 +42,7 @@ def asked(t: Tables) -> DataFrame:
 
 def signals(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, signal): 4 the surface itself, 3 a shared token, 2 one token holds another (six letters
-    or more both), 1 a token within the fuzzy limit; the best of each pair.
+    or more both), 1 a token within the lesser of both fuzzy limits; the best of each pair.
 
     Only distinct tokens are compared: equal ones by equi-join, holding ones under the shorter one's first
     six letters, near ones under their deletion neighbourhoods.
@@ -65,8 +65,8 @@ def signals(queries: DataFrame, docs: DataFrame) -> DataFrame:
         one = a.select(x, F.explode(F.concat(F.array(x), without_one(F.col(x)))).alias("one")).distinct()
         return one.select(x, F.explode(F.concat(F.array("one"), without_one(F.col("one")))).alias("k")).distinct()
 
-    met = neighbourhood(q.where(T.fuzzy_limit(F.col("q")) > 0), "q").join(neighbourhood(v, "v"), "k").select("q", "v").distinct()
-    near = met.where(F.levenshtein("q", "v") <= T.fuzzy_limit(F.col("q"))).withColumn("signal", F.lit(1))
+    met = neighbourhood(q.where(F.length("q") >= 6), "q").join(neighbourhood(v.where(F.length("v") >= 6), "v"), "k").select("q", "v").distinct()
+    near = met.where(F.levenshtein("q", "v") <= F.least(T.fuzzy_limit(F.col("q")), T.fuzzy_limit(F.col("v")))).withColumn("signal", F.lit(1))
     best = equal.union(inside).union(near).groupBy("q", "v").agg(F.max("signal").alias("signal"))
     by_token = qt.join(best, "q").join(dt, "v").select("query_id", "doc_id", "signal")
     exact = queries.select("query_id", T.norm(F.col("query")).alias("s")).join(docs.select("doc_id", T.norm(F.col("name")).alias("s")), "s").select("query_id", "doc_id", F.lit(4).alias("signal"))

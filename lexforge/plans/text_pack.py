@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
@@ -93,14 +93,14 @@ def phrase_tests(t: Tables) -> DataFrame:
     )
 
 
-NAMES_SQL = "n AS (SELECT DISTINCT p_name AS name FROM part), ab AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name)"
+NAMES_SQL = "n AS (SELECT DISTINCT p_name AS name FROM part), ab AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON string_split(a.name, ' ')[1] = string_split(b.name, ' ')[1] AND a.name < b.name)"
 LIMIT_SQL = "CASE WHEN length({0}) >= 9 THEN 2 WHEN length({0}) >= 6 THEN 1 ELSE 0 END"
 
 
 def name_pairs(t: Tables) -> DataFrame:
-    """Pairs of distinct names: a vocabulary, bounded whatever the number of parts."""
-    n = t.part.select("p_name").distinct()
-    return n.withColumnRenamed("p_name", "a").join(n.withColumnRenamed("p_name", "b"), F.col("a") < F.col("b"))
+    """Pairs of distinct names of one first word, by equi-join on it."""
+    n = t.part.select("p_name", F.element_at(F.split("p_name", " "), 1).alias("first")).distinct()
+    return n.withColumnRenamed("p_name", "a").join(n.withColumnRenamed("p_name", "b"), "first").where("a < b")
 
 
 @query(f"""WITH {NAMES_SQL} SELECT a, b, levenshtein(a, b) AS distance, least(levenshtein(a, b), 4) AS bounded, {LIMIT_SQL.format('a')} AS allowed, levenshtein(a, b) <= {LIMIT_SQL.format('a')} AS near FROM ab""")
@@ -115,13 +115,50 @@ def edit_distances(t: Tables) -> DataFrame:
 @query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS w FROM part), ab AS (SELECT x.w AS a, y.w AS b FROM t x JOIN t y ON x.w <= y.w),
 c AS (SELECT a, b, least(length(a), length(b)) AS s, greatest(length(a), length(b)) AS l, (SELECT count(*) FROM range(1, least(length(a), length(b)) + 1) r(i) WHERE substr(a, 1, r.i) = substr(b, 1, r.i)) AS p,
  least(CASE WHEN length(a) >= 9 THEN 2 WHEN length(a) >= 6 THEN 1 ELSE 0 END, CASE WHEN length(b) >= 9 THEN 2 WHEN length(b) >= 6 THEN 1 ELSE 0 END) AS f FROM ab),
-d AS (SELECT *, CASE WHEN a = b THEN 4 WHEN s >= 5 AND (contains(a, b) OR contains(b, a)) THEN 3 WHEN p >= 5 AND p >= 0.65 * l THEN 2 WHEN f > 0 AND levenshtein(a, b) <= f THEN 1 ELSE 0 END AS signal FROM c)
-SELECT a, b, CAST(signal AS INTEGER) AS signal, CAST(CASE WHEN signal = 2 THEN p WHEN signal > 0 THEN s ELSE 0 END AS INTEGER) AS specificity FROM d""")
+d AS (SELECT *, CASE WHEN a = b THEN 4 WHEN s >= 5 AND (contains(a, b) OR contains(b, a)) THEN 3 WHEN s >= 6 AND p >= 5 AND p >= 0.65 * s THEN 2 WHEN s >= 6 AND levenshtein(a, b) <= f THEN 1 ELSE 0 END AS signal FROM c)
+SELECT a, b, CAST(signal AS INTEGER) AS signal, CAST(CASE WHEN signal = 2 THEN p WHEN signal = 1 THEN l - levenshtein(a, b) ELSE s END AS INTEGER) AS specificity FROM d WHERE signal > 0""")
 def pair_signals(t: Tables) -> DataFrame:
-    """How alike two words are: equal, held, shared beginning, within the fuzzy limit."""
+    """How alike two words are, of those that are at all: equal, held, shared beginning, within the fuzzy limit."""
     w = t.part.select(F.explode(T.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("a")).distinct()
-    pairs = w.join(w.withColumnRenamed("a", "b"), F.col("a") <= F.col("b"))
-    return pairs.select("a", "b", T.pair_signal(F.col("a"), F.col("b")).alias("s")).select("a", "b", "s.signal", "s.specificity")
+    pairs = alike_words(w, "a", w.withColumnRenamed("a", "b"), "b").where("a <= b")
+    return pairs.select("a", "b", "signal", "specificity")
+
+
+def alike_words(xs: DataFrame, x: str, ys: DataFrame, y: str) -> DataFrame:
+    """(x, y, signal, specificity) of the distinct words of xs and ys whose pair signal isn't 0.
+
+    Words meet under keys that every such pair shares: themselves, the five letters that the shorter begins
+    with somewhere in the longer, five letters they begin with, or what they become without up to two letters.
+    """
+
+    def keys(df: DataFrame, c: str) -> DataFrame:
+        w = F.col(c)
+        five = F.transform(T.char_ngrams(w, 5), lambda g: F.concat(F.lit("5"), g))
+        near = F.when(F.length(w) >= 6, F.transform(T.deletions(w), lambda g: F.concat(F.lit("~"), g))).otherwise(F.array().cast("array<string>"))
+        return df.select(c, F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("="), w)), five, near))).alias("key"))
+
+    met = keys(xs, x).join(keys(ys, y), "key").select(x, y).distinct()
+    return met.withColumn("s", T.pair_signal(F.col(x), F.col(y))).select(x, y, "s.signal", "s.specificity").where("signal > 0")
+
+
+@query("""WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS w FROM part), v AS (SELECT DISTINCT w FROM w),
+q0 AS (SELECT DISTINCT w AS q FROM w UNION SELECT DISTINCT substr(w, 1, length(w) // 2) || substr(w, length(w) // 2 + 2) FROM w), q AS (SELECT q, dense_rank() OVER (ORDER BY q) AS query_id FROM q0 WHERE q <> ''),
+c AS (SELECT query_id, q AS a, w AS b, least(length(q), length(w)) AS s, greatest(length(q), length(w)) AS l, levenshtein(q, w) AS e, (SELECT count(*) FROM range(1, least(length(q), length(w)) + 1) r(i) WHERE substr(q, 1, r.i) = substr(w, 1, r.i)) AS p FROM q CROSS JOIN v),
+d AS (SELECT *, CASE WHEN a = b THEN 4 WHEN s >= 5 AND (contains(a, b) OR contains(b, a)) THEN 3 WHEN s >= 6 AND p >= 5 AND p >= 0.65 * s THEN 2 WHEN s >= 6 AND e <= CASE WHEN s >= 9 THEN 2 ELSE 1 END THEN 1 ELSE 0 END AS signal FROM c),
+f AS (SELECT query_id, b, signal, CASE WHEN signal = 2 THEN p WHEN signal = 1 THEN l - e ELSE s END AS specificity FROM d WHERE signal > 0),
+o AS (SELECT query_id, id AS doc_id, max(signal) AS signal, max(signal * 1000 + specificity) % 1000 AS specificity FROM f JOIN w ON w.w = f.b GROUP BY query_id, id),
+r AS (SELECT query_id, doc_id, CAST(signal AS INTEGER) AS signal, CAST(specificity AS INTEGER) AS specificity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY signal DESC, specificity DESC, doc_id) AS INTEGER) AS rank FROM o)
+SELECT query_id, doc_id, signal, specificity, rank FROM r WHERE rank <= 5""")
+def surface_ranking(t: Tables) -> DataFrame:
+    """Surface rank: every part by its most alike word (signal, then specificity) for one-word queries, well and badly spelt; five each."""
+    words = t.part.select(F.col("p_partkey").alias("doc_id"), F.explode(T.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("w")).distinct()
+    vocabulary = words.select("w").distinct()
+    asked = vocabulary.select(F.col("w").alias("q")).union(vocabulary.select(T.drop_middle(F.col("w")))).where("q <> ''").distinct()
+    alike = alike_words(asked, "q", vocabulary, "w").join(words, "w").groupBy("q", "doc_id").agg(F.max(F.struct("signal", "specificity")).alias("s"))
+    number = asked.withColumn("query_id", F.dense_rank().over(Window.orderBy("q")).cast("long"))  # a vocabulary's words
+    best = Window.partitionBy("q").orderBy(F.desc("s.signal"), F.desc("s.specificity"), "doc_id")
+    top = alike.withColumn("rank", F.row_number().over(best)).where("rank <= 5").join(number, "q")
+    return top.select("query_id", "doc_id", "s.signal", "s.specificity", "rank")
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT name, needle, unnest(list_distinct([greatest(length(needle) + d, 3) FOR d IN [-2, -1, 0, 1, 2]])) AS size FROM n, (VALUES ('widgit'), ('blot'), ('smal rng')) v(needle)) ,
@@ -162,7 +199,7 @@ def page_links(t: Tables) -> DataFrame:
     return a.select("page_id", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_extract("a", ">([^<]*)<", 1)).alias("label"))
 
 
-@query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{T.EMAIL}', ' ', 'g'), '{T.URL}', ' ', 'g'), '{T.PHONE.replace(chr(39), "")}', ' ', 'g'), '{WS}', ' ', 'g'))) AS text,
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{T.EMAIL}', ' ', 'g'), '{T.URL}', ' ', 'g'), '{T.PHONE}', '\1 ', 'g'), '{WS}', ' ', 'g'))) AS text,
 len(regexp_extract_all(text, '{T.EMAIL}')) AS n_mails, len(regexp_extract_all(text, '{T.URL}')) AS n_urls FROM documents""")
 def scrubbed(t: Tables) -> DataFrame:
     """E-mail addresses, URLs and phone numbers out of texts."""

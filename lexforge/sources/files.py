@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import codecs
 import json
 import zipfile
 from collections.abc import Iterator
@@ -63,8 +64,9 @@ def read_array_prefix(spark: SparkSession, path: str, budget: int, chunk: int =
         for b in batches:
             for where, content in zip(b["path"], b["content"]):
                 rest, found, done = "", [], False
+                text = codecs.getincrementaldecoder("utf-8")("replace")  # a character may lie across two chunks
                 for at in range(0, min(len(content), budget), chunk):
-                    rest += content[at : min(at + chunk, budget)].decode("utf-8", "ignore")
+                    rest += text.decode(content[at : min(at + chunk, budget)])
                     while not done:
                         rest = rest.lstrip(" \t\r\n,[") if not found or rest[:1] in " \t\r\n,[" else rest
                         if rest.startswith("]"):
@@ -74,6 +76,8 @@ def read_array_prefix(spark: SparkSession, path: str, budget: int, chunk: int =
                             value, end = decoder.raw_decode(rest)
                         except ValueError:
                             break
+                        if end == len(rest) and not isinstance(value, (dict, list, str)):
+                            break  # a number or a word at the edge may go on
                         found.append(json.dumps(value, sort_keys=True))
                         rest = rest[end:]
                 yield pd.DataFrame({"path": where, "item": found, "status": "complete_array" if done else "byte_budget_reached"})

@@ -96,7 +96,7 @@ def test_logistic_matches_numpy(spark):
     x = rng.standard_normal((60, 2))
     y = (x[:, 0] + 0.3 * rng.standard_normal(60) > 0).astype(int)
     frame = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
-    theta, _ = vectors.logistic(frame, ["a", "b"], "y", steps=5)
+    theta, _ = vectors.logistic(frame, ["a", "b"], "y", steps=5, rate=0.5)
     want, z = np.zeros(3), np.c_[np.ones(60), x]
     cw = np.where(y == 1, 60 / (2 * y.sum()), 60 / (2 * (60 - y.sum())))
     for _ in range(5):
@@ -104,3 +104,54 @@ def test_logistic_matches_numpy(spark):
         g[1:] += 0.01 * want[1:]
         want = want - 0.5 * g
     assert np.allclose(theta, want)
+
+
+def test_pair_signal_by_hand(spark):
+    """Shared beginnings count against the shorter word; near words by the lesser limit, as specific as longer less edits."""
+    cases = [("abcdefg", "abcdexyzwvut", 2, 5), ("abcde", "abcdf", 0, 0), ("abcdefghi", "bcdefghj", 0, 0), ("kittens", "kittenz", 2, 6), ("xkitten", "ykitten", 1, 6), ("sales", "salesman", 3, 5), ("same", "same", 4, 4), ("abcd", "abcdefgh", 0, 0)]
+    got = spark.createDataFrame([(a, b) for a, b, *_ in cases], "a string, b string").select("a", "b", T.pair_signal(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [(r.a, r.b, r.s.signal, r.s.specificity) for r in got] == cases
+
+
+def test_words_meet_under_shared_keys(spark):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(3, 10))) for _ in range(150)})
+    df = spark.createDataFrame([(w,) for w in words], "a string")
+    from lexforge.plans.text_pack import alike_words
+
+    got = {(x.a, x.b): (x.signal, x.specificity) for x in alike_words(df, "a", df.withColumnRenamed("a", "b"), "b").collect()}
+    every = spark.createDataFrame(list(itertools.product(words, words)), "a string, b string").select("a", "b", T.pair_signal(F.col("a"), F.col("b")).alias("s")).where("s.signal > 0").collect()
+    assert got == {(x.a, x.b): (x.s.signal, x.s.specificity) for x in every}
+
+
+def test_scrub_by_hand(spark):
+    texts = {"ring 070-123 45 67 nu": "ring nu", "2024-01-15 10:30": "2024-01-15 10:30", "se www.exempel.se/jobb eller http://a.b": "se eller", "+4670 123 45 67": "", "+46 70": "+46 70", "order 12345678": "order 12345678", "a.b@c.se, x": ", x"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.scrub(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == texts
+
+
+def test_all_unicode_spaces_are_white_space(spark):
+    row = spark.createDataFrame([("\u2003A\u00a0\u3000B\u2028c\u1680",)], "t string").select(T.norm(F.col("t")).alias("n")).head()
+    assert row.n == "a b c"
+
+
+def test_passive_aggressive_by_hand(spark):
+    """Starts at the unit sums; unit rows; half the loss to either side."""
+    rows = spark.createDataFrame([(1, "x", {"f": 2.0}), (2, "y", {"f": 3.0, "g": 4.0})], "row long, cls string, features map<string,double>")
+    assert {(r.cls, r.feature): round(r.w, 9) for r in vectors.passive_aggressive(rows, epochs=0).collect()} == {("x", "f"): 1.0, ("y", "f"): 0.6, ("y", "g"): 0.8}
+    w = {"x": {"f": 1.0, "g": 0.0}, "y": {"f": 0.6, "g": 0.8}}
+    import hashlib
+
+    data = {1: ("x", {"f": 1.0, "g": 0.0}), 2: ("y", {"f": 0.6, "g": 0.8})}
+    for i in sorted(data, key=lambda i: hashlib.sha256(f"pa|0|{i}".encode()).digest()):
+        c, v = data[i]
+        k = "y" if c == "x" else "x"
+        loss = 1 - sum(w[c][f] * v[f] for f in v) + sum(w[k][f] * v[f] for f in v)
+        for f in v:
+            w[c][f] += max(loss, 0) / 2 * v[f]
+            w[k][f] -= max(loss, 0) / 2 * v[f]
+    got = {(r.cls, r.feature): r.w for r in vectors.passive_aggressive(rows, epochs=1).collect()}
+    assert all(math.isclose(got.get((c, f), 0.0), w[c][f], abs_tol=1e-12) for c in w for f in "fg")

@@ -41,6 +41,14 @@ def test_array_prefix(spark, tmp_path, budget, n, status):
     assert len(rows) == n and {r.status for r in rows} == {status}
 
 
+@pytest.mark.parametrize("chunk", [5, 10, 11, 1 << 16])
+def test_characters_and_numbers_across_chunks(spark, tmp_path, chunk):
+    (tmp_path / "a.json").write_text('["ööööö", 12345, {"å": "ä"}]', encoding="utf-8")
+    rows = files.read_array_prefix(spark, str(tmp_path / "a.json"), 1000, chunk=chunk).collect()
+    assert [json.loads(r.item) for r in rows] == ["ööööö", 12345, {"å": "ä"}]
+    assert [json.loads(r.item) for r in files.read_array_prefix(spark, str(tmp_path / "a.json"), 18, chunk=chunk).collect()] == ["ööööö"]
+
+
 def test_merge_and_leaves(spark):
     a = spark.createDataFrame([(1, "x")], "id long, v string")
     assert files.merge_by_id([a, a], "id").count() == 1
