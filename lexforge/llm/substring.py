@@ -6,7 +6,7 @@
 2. Confirmation. For anchors that recur, the hashes of their windows meet under the anchor, and windows
    found twice or more are confirmed; the first of them by (row, place) represents it. Anchors with more than
    `HOT` occurrences don't meet in one task: their windows are counted where they are read, the counts are
-   added up, and the occurrences get the representatives of their anchor by a salted join.
+   added up, and the occurrences meet the representatives of their anchor in several salted tasks.
 3. Automata. Documents are dealt into blocks of about `BLOCK_WORDS` words. For every block the passages that its
    documents share with others, as far as they are confirmed, are cut out of their representatives' texts and
    shipped to it, once a block. The block compiles them into one Aho-Corasick automaton (a shard) over word
@@ -42,6 +42,8 @@ from ._common import n_partitions, staged, table
 PHRASE = 8
 #: Occurrences of an anchor above which its windows are counted by aggregation instead of meeting in a task.
 HOT = 2000
+#: Representatives up to whose number their keys are broadcast, after a count.
+BROADCAST_ROWS = 2_000_000
 #: Windows of a passage; longer ones are cut, each piece with all words of its windows, for automata go as deep as their passages are long.
 PIECE = 1000
 #: Parts that the occurrences of a hot window are dealt into.
@@ -217,18 +219,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, start, hashes, leads array<struct<hash, key, start>>): NEED of the windows that have a lead."""
+    """Rows (gram, salt, lead, key, start, hashes) by gram and salt, leads first: NEED of the windows that have a lead.
+
+    A lead is one window: its hash is big-endian in hashes.
+    """
+    at, leads, index = None, [], None
     for b in batches:
         parts = []
-        for key, start, blob, leads in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-            h, own = np.frombuffer(blob, dtype=np.int64), leads.values
-            hashes, reps, starts = (own.field(i).to_numpy() for i in range(3))
-            order = np.argsort(hashes)
-            at = np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)
-            hit = np.flatnonzero(hashes[order][at] == h)
+        for gram, salt, lead, key, start, blob in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if (gram, salt) != at:
+                at, leads, index = (gram, salt), [], None
+            if lead:
+                leads.append((int.from_bytes(blob, "big", signed=True), key, start))
+                continue
+            if not leads:
+                continue
+            if index is None:
+                leads.sort()
+                index = tuple(np.array(x, dtype=np.int64) for x in zip(*leads))
+            h = np.frombuffer(blob, dtype=np.int64)
+            hashes, reps, starts = index
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[place] == h)
             if not len(hit):
                 continue
-            rep, low = reps[order][at[hit]], starts[order][at[hit]]
+            rep, low = reps[place[hit]], starts[place[hit]]
             new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (rep[1:] != rep[:-1]) | (np.diff(low) != 1)])
             size = np.diff(np.r_[new, len(hit)])
             parts.append((np.full(len(new), key), rep[new], start + hit[new] - low[new], low[new], low[new] + size))
@@ -251,9 +266,10 @@ def needs(keyed: DataFrame, window: int) -> tuple[DataFrame, int]:
     hot = rows.where("hot").select("gram", "key", "start", "hashes", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).alias("salt"))
     counted = hot.mapInArrow(_counted, "gram long, hash long, n long, key long, start int")
     lead = counted.groupBy("gram", "hash").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start")).alias("lead")).where("n > 1")
-    lead = lead.groupBy("gram").agg(F.collect_list(F.struct("hash", "lead.key", "lead.start")).alias("leads"))
-    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    led = hot.join(lead, ["gram", "salt"]).select("key", "start", "hashes", "leads").mapInArrow(_led, NEED)
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
+    lead = lead.select("gram", salts.alias("salt"), F.lit(True).alias("lead"), "lead.key", "lead.start", F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("hashes"))
+    met = lead.union(hot.select("gram", "salt", F.lit(False), "key", "start", "hashes"))
+    led = met.repartition(n_partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", F.desc("lead")).mapInArrow(_led, NEED)
     return cold.union(led), words
 
 
@@ -336,7 +352,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> Dat
     block = F.pmod(F.col("key"), F.lit(max(1, -(-words // BLOCK_WORDS))))
     wanted = rows.withColumn("block", block).groupBy("block", "rep").agg(F.collect_list(F.struct("key", "delta", "low", "high")).alias("needs"))
     wanted = staged(wanted, "wanted")
-    reps = keyed.select(F.col("key").alias("rep"), "text").join(staged(wanted.select("rep").distinct(), "reps"), "rep", "left_semi")
+    names = staged(wanted.select("rep").distinct(), "reps")
+    if names.count() <= BROADCAST_ROWS:  # 8 bytes each; more of them meet by a shuffle
+        names = F.broadcast(names)
+    reps = keyed.select(F.col("key").alias("rep"), "text").join(names, "rep", "left_semi")
     cut = wanted.join(reps, "rep").select("block", "text", "needs").mapInArrow(_passages(window), "block long, text string")
     passages = cut.select("block", F.lit(True).alias("passage"), F.lit(None).cast("long").alias("doc_id"), "text")
     both = passages.union(keyed.select(block.alias("block"), F.lit(False), "doc_id", "text"))
