@@ -194,6 +194,32 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
 
 
+def leak_free(x: Column, forbidden: list[str], least: int = 25, most: int = 80) -> Column:
+    """The sentences without a forbidden surface, clipped to `most` words; null below `least` words."""
+    kept = F.filter(sentences(x), lambda s: ~_holds(s, forbidden))
+    return _sized(F.array_join(kept, " "), least, most)
+
+
+def task_query(x: Column, markers: list[str], forbidden: list[str], least: int = 12, most: int = 50, span: int = 4) -> Column:
+    """Of the first `span` sentences from the first one on that names a task, those without a forbidden surface; clipped
+    to `most` words, null below `least` words or without such a sentence."""
+    all_ = sentences(x)
+    first = F.array_position(F.transform(all_, lambda s: _holds(s, markers) & ~_holds(s, forbidden)), True)
+    taken = F.filter(F.slice(all_, F.greatest(first, F.lit(1)).cast("int"), F.lit(span)), lambda s: ~_holds(s, forbidden))
+    return F.when(first > 0, _sized(F.array_join(taken, " "), least, most))
+
+
+def _holds(sentence: Column, surfaces: list[str]) -> Column:
+    out = F.lit(False)
+    for s in surfaces:
+        out = out | F.contains(norm(sentence), F.lit(s))
+    return out
+
+
+def _sized(x: Column, least: int, most: int) -> Column:
+    return F.when(F.size(F.split(F.trim(F.regexp_replace(x, SPACE, " ")), " ")) >= least, clip_words(x, most))
+
+
 def clip_words(x: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(x, SPACE, " ")), " "), 1, n), " ")
 

@@ -206,6 +206,19 @@ def bm25_query_without_numbers(t: Tables) -> DataFrame:
     return rounded(index.ranked(index.scores(asked, posted(t)), 10), "score")
 
 
+@query()
+def stem_bm25(t: Tables) -> DataFrame:
+    """BM25 top 10 over stems, and over tokens and stems together (tested on a small case)."""
+    from lexforge.plans.text_pack import stemmed
+
+    out = None
+    for raw, name in ((False, "stem"), (True, "raw_stem")):
+        own = store.stored(t.documents, f"{name}-postings", lambda raw=raw: index.postings(stemmed(documents(t), "doc_id", raw)))
+        top = rounded(index.ranked(index.scores(stemmed(questions(t), "query_id", raw), own), 10), "score").withColumn("features", F.lit(name))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def two_lists(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three ranked lists to fuse: words, character 4-grams and phrases of conversations (by owner), ten each."""
     return words_list(t), grams_list(t), store.written(bm25_query_without_numbers(t), "list")

@@ -265,6 +265,30 @@ def tolerant_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.size(T.json_items(envelope)).alias("n_items"))
 
 
+SENTENCES_SQL = r"""s AS (SELECT doc_id, trim(x) AS x, i FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents) WHERE trim(x) <> ''),
+o AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, contains(lower(x), 'hat') AS bad, contains(lower(x), 'tion') OR contains(lower(x), 'ung') AS task FROM s)"""
+
+
+@query(f"""WITH {SENTENCES_SQL}, f AS (SELECT doc_id, min(i) AS i FROM o WHERE task AND NOT bad GROUP BY doc_id),
+k AS (SELECT o.doc_id, string_agg(x, ' ' ORDER BY o.i) AS q FROM o JOIN f ON f.doc_id = o.doc_id AND o.i BETWEEN f.i AND f.i + 3 WHERE NOT bad GROUP BY o.doc_id),
+l AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS q FROM o WHERE NOT bad GROUP BY doc_id),
+w AS (SELECT doc_id, string_split(trim(regexp_replace(q, '\\s+', ' ', 'g')), ' ') AS w FROM k), v AS (SELECT doc_id, string_split(trim(regexp_replace(q, '\\s+', ' ', 'g')), ' ') AS w FROM l)
+SELECT d.doc_id, md5(array_to_string(w.w[1:50], ' ')) AS task, md5(array_to_string(v.w[1:80], ' ')) AS lead FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id AND len(w.w) >= 12 LEFT JOIN v ON v.doc_id = d.doc_id AND len(v.w) >= 25""")
+def task_queries(t: Tables) -> DataFrame:
+    """Queries made of texts: the sentences about a task, and the text without sentences that give the answer away."""
+    x = F.col("text")
+    return t.documents.select("doc_id", F.md5(T.task_query(x, ["tion", "ung"], ["hat"])).alias("task"), F.md5(T.leak_free(x, ["hat"])).alias("lead"))
+
+
+def stemmed(df: DataFrame, id_: str, raw: bool) -> DataFrame:
+    """df (id_, tokens) with the stems of its tokens, repeats kept; with `raw`, the tokens before them. Each distinct token is stemmed once."""
+    words = df.select(id_, F.explode("tokens").alias("term"))
+    stems = words.select("term").distinct().withColumn("stem", T.stem_words("term"))
+    own = words.join(stems, "term").groupBy(id_).agg(F.collect_list(F.concat(F.lit("m:"), "stem")).alias("_stems"))
+    out = F.coalesce("_stems", F.array().cast("array<string>"))
+    return df.join(own, id_, "left").withColumn("tokens", F.concat("tokens", out) if raw else out).drop("_stems")
+
+
 @query()
 def stemmed_terms(t: Tables) -> DataFrame:
     """(doc_id, term, stem, tf): stems of distinct tokens by a pandas UDF, joined back (tested against the rules)."""

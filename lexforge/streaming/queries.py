@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.operators import store
 
 
 def event_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
@@ -33,17 +34,26 @@ def first_steps(events: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there, to the end, and return the sink as a table of the session."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = q.option("checkpointLocation", checkpoint) if checkpoint else q
-    run = q.start()
-    run.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there, to the end, and return its sink: a table in the shared folder.
+
+    complete: the last batch's result stands. append: a batch has a folder of its own, so one that is run again
+    after a failure replaces itself. Nothing passes through the driver.
+    """
+    spark = stream.sparkSession
+    path = f"{store.shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
+    checkpoint = checkpoint or f"{path}-checkpoint"
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/_batch={0 if mode == 'complete' else number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/_batch=-1")  # a stream without rows has a sink too
+    stream.writeStream.outputMode(mode).foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+    return spark.read.parquet(path).drop("_batch")
 
 
 def judged(cases: DataFrame, done_path: str, verdict: Column, fingerprint: str, spark: SparkSession) -> DataFrame:
     """Resumable keyed judging: cases (key, ...) without a complete verdict under this fingerprint are judged and
-    appended; a folder of another fingerprint is refused. Returns all verdicts."""
+    appended; a folder of another fingerprint, or with verdicts on keys that aren't among the cases, is refused. Returns all verdicts."""
     try:
         old = spark.read.parquet(done_path)
     except Exception as e:  # a first run has no folder yet
@@ -54,6 +64,8 @@ def judged(cases: DataFrame, done_path: str, verdict: Column, fingerprint: str,
         others = old.where(F.col("fingerprint") != fingerprint).limit(1).count()
         if others:
             raise ValueError("verdicts of another protocol")
+        if old.join(cases.select("key").distinct(), "key", "left_anti").limit(1).count():
+            raise ValueError("verdicts of other cases")
         whole = old.where("verdict in ('keep', 'uncertain', 'drop')")
         cases = cases.join(whole.select("key").distinct(), "key", "left_anti")
     cases.select("key", verdict.alias("verdict"), F.lit(fingerprint).alias("fingerprint")).write.mode("append").parquet(done_path)
@@ -68,5 +80,5 @@ def judge_stream(stream: DataFrame, done_path: str, verdict: Column, fingerprint
     def batch(df: DataFrame, _: int) -> None:
         judged(df, done_path, verdict, fingerprint, df.sparkSession)
 
-    q = stream.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint or tempfile.mkdtemp(prefix="lexforge-"))
+    q = stream.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{store.shared_dir(stream.sparkSession)}/lexforge/judge-{uuid.uuid4().hex}")
     q.start().awaitTermination()

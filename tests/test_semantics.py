@@ -155,3 +155,20 @@ def test_passive_aggressive_by_hand(spark):
             w[k][f] -= max(loss, 0) / 2 * v[f]
     got = {(r.cls, r.feature): r.w for r in vectors.passive_aggressive(rows, epochs=1).collect()}
     assert all(math.isclose(got.get((c, f), 0.0), w[c][f], abs_tol=1e-12) for c in w for f in "fg")
+
+
+def test_task_query_by_hand(spark):
+    text = "Vi är stora. I rollen gör du mycket och mer och ännu mer. Titeln är Kock. Du lagar mat varje dag i ett stort kök. Du städar. Sen går du hem. Slut."
+    got = spark.createDataFrame([(text,), ("Inget här.",), (None,), ("I rollen. Kort.",)], "t string").select(T.task_query(F.col("t"), ["i rollen"], ["kock"]).alias("q"), T.leak_free(F.col("t"), ["kock"], 25, 26).alias("l")).collect()
+    assert got[0].q == "I rollen gör du mycket och mer och ännu mer. Du lagar mat varje dag i ett stort kök. Du städar."
+    assert got[0].l is not None and len(got[0].l.split()) == 26 and "Kock" not in got[0].l
+    assert all(r.q is None and r.l is None for r in got[1:])
+
+
+def test_stems_beside_tokens(spark):
+    from lexforge.plans.text_pack import stemmed
+
+    df = spark.createDataFrame([(1, ["bilarna", "bil"]), (2, [])], "doc_id long, tokens array<string>")
+    both = {r.doc_id: r.tokens for r in stemmed(df, "doc_id", True).collect()}
+    assert sorted(both[1]) == ["bil", "bilarna", "m:bil", "m:bil"] and both[2] == []
+    assert {r.doc_id: sorted(r.tokens) for r in stemmed(df, "doc_id", False).collect()} == {1: ["m:bil", "m:bil"], 2: []}

@@ -73,6 +73,8 @@ def test_judging_resumes(spark, tmp_path):
     assert S.judged(cases.where("key < 3"), str(tmp_path / "v"), verdict, "p1", spark).count() == 3
     assert S.judged(cases, str(tmp_path / "v"), verdict, "p1", spark).count() == 5
     assert spark.read.parquet(str(tmp_path / "v")).count() == 5
+    with pytest.raises(ValueError, match="other cases"):
+        S.judged(cases.where("key < 3"), str(tmp_path / "v"), verdict, "p1", spark)
     with pytest.raises(ValueError, match="another protocol"):
         S.judged(cases, str(tmp_path / "v"), verdict, "p2", spark)
 
