@@ -72,6 +72,20 @@ def test_shuffle_is_uniform(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().where("count = 1000").count() == 4
 
 
+def test_sharding_query(spark, sf_dir):
+    """The query's digests against the standard library, its law and its slots."""
+    out = queries.QUERIES["op2_sharding"](spark, sf_dir)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = out.collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows} == {i: (len(t) + 1, zlib.crc32(t), "rows", None) for i, t in texts.items()} and len(rows) == len(texts)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    sizes = [len(by[k]) for k in range(16)]
+    assert set(by) == set(range(16)) and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 # HTML
 
 ARTICLE = "<article><header><h1>T&amp;x</h1></header><p>a <b>b</b>c<br>d&nbsp;e<p class=ad>buy<p>more<aside>x</aside><footer>f</footer><div id=comments><p>hi</div></article>"
