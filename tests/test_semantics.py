@@ -172,3 +172,11 @@ def test_stems_beside_tokens(spark):
     both = {r.doc_id: r.tokens for r in stemmed(df, "doc_id", True).collect()}
     assert sorted(both[1]) == ["bil", "bilarna", "m:bil", "m:bil"] and both[2] == []
     assert {r.doc_id: sorted(r.tokens) for r in stemmed(df, "doc_id", False).collect()} == {1: ["m:bil", "m:bil"], 2: []}
+
+
+def test_compatibility_normalisation(spark):
+    import unicodedata
+
+    texts = ["ﬁ ① Å e\u0301", "", None, "plain"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_unicode(F.col("t"), F.lit("NFKC")).alias("n")).collect()
+    assert [r.n for r in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
