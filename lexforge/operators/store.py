@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Only on one machine, where the session names none, a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexforge-")
         spark.conf.set("spark.checkpoint.dir", path)
