@@ -6,7 +6,8 @@
 2. Confirmation. For anchors that recur, the hashes of their windows meet under the anchor, and windows
    found twice or more are confirmed; the first of them by (row, place) represents it. Anchors with more than
    `HOT` occurrences don't meet in one task: their windows are counted where they are read, the counts are
-   added up, and the occurrences meet the representatives of their anchor in several salted tasks.
+   added up, and the occurrences meet the representatives of their anchor in several tasks, dealt by block (see 3);
+   of the copies in a block the first stands for all, for they ask for the same passages.
 3. Automata. Documents are dealt into blocks of about `BLOCK_WORDS` words. For every block the passages that its
    documents share with others, as far as they are confirmed, are cut out of their representatives' texts and
    shipped to it, once a block. The block compiles them into one Aho-Corasick automaton (a shard) over word
@@ -218,17 +219,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(pa.array(x) for x in (g[lead], h[lead], np.diff(np.r_[first, len(h)]), key[lead])), pa.array(at[lead].astype(np.int32))], names=["gram", "hash", "n", "key", "start"])
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, salt, lead, key, start, hashes) by gram and salt, leads first: NEED of the windows that have a lead.
+def _led(blocks: int):
+    """Rows (gram, salt, lead, key, start, hashes) by gram and salt, leads first, then by key and start: NEED of the windows that have a lead.
 
-    A lead is one window: its hash is big-endian in hashes.
+    A lead is one window: its hash is big-endian in hashes. What several rows of a block ask for is returned once, for
+    the smallest key.
     """
-    at, leads, index = None, [], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _led_rows(batches, blocks)
+
+    return run
+
+
+def _led_rows(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    at, leads, index, asked = None, [], None, set()
     for b in batches:
         parts = []
         for gram, salt, lead, key, start, blob in zip(*(b.column(i).to_pylist() for i in range(6))):
             if (gram, salt) != at:
-                at, leads, index = (gram, salt), [], None
+                at, leads, index, asked = (gram, salt), [], None, set()
             if lead:
                 leads.append((int.from_bytes(blob, "big", signed=True), key, start))
                 continue
@@ -246,30 +256,42 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rep, low = reps[place[hit]], starts[place[hit]]
             new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (rep[1:] != rep[:-1]) | (np.diff(low) != 1)])
             size = np.diff(np.r_[new, len(hit)])
-            parts.append((np.full(len(new), key), rep[new], start + hit[new] - low[new], low[new], low[new] + size))
+            runs = [(key % blocks, *run) for run in zip(rep[new].tolist(), low[new].tolist(), size.tolist())]
+            fresh = [i for i, run in enumerate(runs) if run not in asked]
+            asked.update(runs)
+            if fresh:
+                new, size = new[fresh], size[fresh]
+                parts.append((np.full(len(new), key), rep[new], start + hit[new] - low[new], low[new], low[new] + size))
         if parts:
             arrays = [np.concatenate(x) for x in zip(*parts)]
             yield pa.record_batch([pa.array(x.astype(np.int64 if i < 2 else np.int32)) for i, x in enumerate(arrays)], names=["key", "rep", "delta", "low", "high"])
 
 
+def n_blocks(words: int) -> int:
+    """Blocks that documents of so many words are dealt into, by key."""
+    return max(1, -(-words // BLOCK_WORDS))
+
+
 def needs(keyed: DataFrame, window: int) -> tuple[DataFrame, int]:
-    """(rows, words): NEED, the runs of windows of keyed (key, text) whose word sequence starts elsewhere too; and about how many words there are."""
+    """(rows, words): NEED, the runs of windows of keyed (key, text) whose word sequence starts elsewhere too, for every block that
+    has them (hot ones once a block); and about how many words there are."""
     spark = keyed.sparkSession
     anchors = staged(keyed.mapInArrow(_anchor_rows(window), "gram long, key long, n int"), "anchors")
     words = SPACING * (anchors.agg(F.sum("n")).head()[0] or 0)
+    blocks = n_blocks(words)
     recurring = anchors.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     grams = anchors.select("gram", "key").join(recurring, "gram").groupBy("key").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.col("n") > HOT).alias("hots"))
     some = keyed.join(grams, "key").select("key", "text", "grams", "hots")
     rows = staged(some.mapInArrow(_window_rows(window), "gram long, hot boolean, key long, start int, hashes binary"), "windows")
     cold = rows.where("not hot").select("gram", "key", "start", "hashes").repartition(n_partitions(spark), "gram").sortWithinPartitions("gram")
     cold = cold.mapInArrow(_confirmed, NEED)
-    hot = rows.where("hot").select("gram", "key", "start", "hashes", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).alias("salt"))
+    hot = rows.where("hot").select("gram", "key", "start", "hashes", F.pmod(F.pmod("key", F.lit(blocks)), F.lit(SALT)).cast("long").alias("salt"))
     counted = hot.mapInArrow(_counted, "gram long, hash long, n long, key long, start int")
     lead = counted.groupBy("gram", "hash").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start")).alias("lead")).where("n > 1")
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
     lead = lead.select("gram", salts.alias("salt"), F.lit(True).alias("lead"), "lead.key", "lead.start", F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("hashes"))
     met = lead.union(hot.select("gram", "salt", F.lit(False), "key", "start", "hashes"))
-    led = met.repartition(n_partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", F.desc("lead")).mapInArrow(_led, NEED)
+    led = met.repartition(n_partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", F.desc("lead"), "key", "start").mapInArrow(_led(blocks), NEED)
     return cold.union(led), words
 
 
@@ -349,7 +371,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> Dat
     """doc_id, n_words, n_removed, kept_sha256 and, with `texts`, kept_text of every row of docs."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     rows, words = needs(keyed.select("key", "text"), window)
-    block = F.pmod(F.col("key"), F.lit(max(1, -(-words // BLOCK_WORDS))))
+    block = F.pmod(F.col("key"), F.lit(n_blocks(words)))
     wanted = rows.withColumn("block", block).groupBy("block", "rep").agg(F.collect_list(F.struct("key", "delta", "low", "high")).alias("needs"))
     wanted = staged(wanted, "wanted")
     names = staged(wanted.select("rep").distinct(), "reps")

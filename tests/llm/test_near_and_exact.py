@@ -219,3 +219,19 @@ def test_levels_are_the_suffix_array(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, sf_dir, name):
     assert difference(spark, sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name], connect(sf_dir)) == ""
+
+
+def test_hot_windows_are_asked_for_once_a_block():
+    """Copies under a hot anchor cost a row a block and run, whatever their number."""
+    import pyarrow as pa
+
+    def rows(n):
+        h = np.arange(3, dtype=np.int64)
+        leads = [(1, 0, True, 0, i, int(x).to_bytes(8, "big", signed=True)) for i, x in enumerate(h)]
+        held = leads + [(1, 0, False, k, 5, h.tobytes()) for k in range(n)] + [(1, 0, False, n, 0, h[1:].tobytes())]
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=["gram", "salt", "lead", "key", "start", "hashes"])
+
+    for n in (10, 1000):
+        out = [tuple(x.values()) for b in substring._led(2)(iter([rows(n)])) for x in b.to_pylist()]
+        assert out == [(0, 0, 5, 0, 3), (1, 0, 5, 0, 3), (n, 0, -1, 1, 3)]
