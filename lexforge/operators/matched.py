@@ -10,6 +10,7 @@ little more than tokens.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.operators.index import B, EXACT_BOOST, K1
-from lexforge.operators.store import BROADCAST_ROWS, small, written
+from lexforge.operators.store import BROADCAST_ROWS, built, small, stored, written
 
 #: Cells of the matrix of terms and queries up to which this is done; beyond, the compiled index answers.
 CELLS = 8_000_000
@@ -131,11 +132,12 @@ def _scores(asked: list[np.ndarray], ids: list, idf: np.ndarray, avgdl: float, k
     return run
 
 
-def top(docs: DataFrame, queries: DataFrame, k: int, features: Callable[[str], list[str]] = lambda w: [w], exact: bool = False, digits: int = 6) -> DataFrame | None:
+def top(docs: DataFrame, queries: DataFrame, k: int, features: Callable[[str], list[str]] = lambda w: [w], exact: bool = False, digits: int = 6, source: DataFrame | None = None, also: DataFrame | None = None) -> DataFrame | None:
     """(query_id, doc_id, score, rank): the first k documents of every query by rounded score and doc_id.
 
     docs (doc_id, tokens) and queries (query_id, tokens); with `exact` both have surfaces, whose equality adds the boost.
-    None, where the queries are too many for it, or where doc_id isn't unique.
+    With `source`, the table that docs are made of, the counts are stored for all calls of the same terms; the terms of
+    the queries `also` are then counted too. None, where the queries are too many for it, or where doc_id isn't unique.
     """
     own = queries.select("query_id", "tokens", *(["surface"] * exact))
     if own.select(F.explode("tokens")).limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS or own.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
@@ -144,16 +146,31 @@ def top(docs: DataFrame, queries: DataFrame, k: int, features: Callable[[str], l
     for q, tokens in own.select("query_id", "tokens").collect():
         wanted.setdefault(q, set()).update(f for w in set(tokens) for f in features(w))
     ids = sorted(wanted)
-    numbers = {f: i for i, f in enumerate(sorted(set().union(*wanted.values())))}
+    terms = set().union(*wanted.values())
+    if also is not None:
+        terms |= {f for r in also.select(F.explode("tokens").alias("w")).distinct().collect() for f in features(r.w)}
+    numbers = {f: i for i, f in enumerate(sorted(terms))}
     if len(ids) * len(numbers) > CELLS:
         return None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", *(["surface"] * exact))
-    same = F.lit(None).cast("array<long>").alias("exact")
-    if exact:
-        equal = own.where("surface is not null").groupBy("surface").agg(F.collect_set(F.col("query_id").cast("long")).alias("exact"))
-        rows, same = rows.join(small(equal), "surface", "left"), F.col("exact")
-    counted = rows.select("doc_id", same, "tokens").mapInArrow(_counts(numbers, features), "stat boolean, doc_id long, exact array<long>, n long, dl long, terms array<int>, tfs array<int>")
-    counted = written(counted, "matched")
+
+    def build() -> DataFrame:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", *(["surface"] * exact))
+        same = F.lit(None).cast("array<long>").alias("exact")
+        if exact:
+            equal = own.where("surface is not null").groupBy("surface").agg(F.collect_set(F.col("query_id").cast("long")).alias("exact"))
+            rows, same = rows.join(small(equal), "surface", "left"), F.col("exact")
+        return rows.select("doc_id", same, "tokens").mapInArrow(_counts(numbers, features), "stat boolean, doc_id long, exact array<long>, n long, dl long, terms array<int>, tfs array<int>")
+
+    if source is None:
+        counted = written(build(), "matched")
+    else:
+        name = "matched-" + hashlib.sha256("\n".join(numbers).encode()).hexdigest()[:16]
+        equal_to = queries if also is None else also
+        if "surface" in equal_to.columns:  # its table also serves where no surface is asked for
+            said = sorted(map(repr, equal_to.select("query_id", "surface").collect()))
+            surfaces = f"{name}-surfaces-{hashlib.sha256(chr(10).join(said).encode()).hexdigest()[:16]}"
+            name = surfaces if exact or built(source, surfaces) else name
+        counted = stored(source, name, build)
     plain = counted.where("not stat")
     n, distinct = plain.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).head()
     if n != distinct:
@@ -165,6 +182,7 @@ def top(docs: DataFrame, queries: DataFrame, k: int, features: Callable[[str], l
         df[term] = count
     asked = [np.array(sorted(numbers[f] for f in wanted[q]), dtype=np.int64) for q in ids]
     score = _scores(asked, ids, np.log(1 + (n - df + 0.5) / (df + 0.5)), length / max(n, 1), k, digits)
-    best = plain.select("doc_id", "exact", "dl", "terms", "tfs").mapInArrow(score, "query_id long, doc_id long, score double")
+    equal = F.col("exact") if exact else F.lit(None).cast("array<long>").alias("exact")
+    best = plain.select("doc_id", equal, "dl", "terms", "tfs").mapInArrow(score, "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
