@@ -223,7 +223,8 @@ def _led(blocks: int):
     """Rows (gram, salt, lead, key, start, hashes) by gram and salt, leads first, then by key and start: NEED of the windows that have a lead.
 
     A lead is one window: its hash is big-endian in hashes. What several rows of a block ask for is returned once, for
-    the smallest key.
+    the smallest key, with a delta that keeps it apart from other runs of that key: joined to its neighbours there, it
+    would not be found in the other rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +262,8 @@ def _led_rows(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Rec
             asked.update(runs)
             if fresh:
                 new, size = new[fresh], size[fresh]
-                parts.append((np.full(len(new), key), rep[new], start + hit[new] - low[new], low[new], low[new] + size))
+                # a place of its own in the room below all true deltas, so that a run stays a passage for all that ask for it
+                parts.append((np.full(len(new), key), rep[new], low[new] - (1 << 31), low[new], low[new] + size))
         if parts:
             arrays = [np.concatenate(x) for x in zip(*parts)]
             yield pa.record_batch([pa.array(x.astype(np.int64 if i < 2 else np.int32)) for i, x in enumerate(arrays)], names=["key", "rep", "delta", "low", "high"])

@@ -234,4 +234,14 @@ def test_hot_windows_are_asked_for_once_a_block():
 
     for n in (10, 1000):
         out = [tuple(x.values()) for b in substring._led(2)(iter([rows(n)])) for x in b.to_pylist()]
-        assert out == [(0, 0, 5, 0, 3), (1, 0, 5, 0, 3), (n, 0, -1, 1, 3)]
+        assert out == [(0, 0, -(1 << 31), 0, 3), (1, 0, -(1 << 31), 0, 3), (n, 0, 1 - (1 << 31), 1, 3)]
+
+
+def test_hot_windows_between_other_neighbours(spark, monkeypatch):
+    """Hot runs that one row of a block has beside others than the next row."""
+    monkeypatch.setattr(substring, "HOT", 1)
+    part = [cases.prose(90, 900 + i) for i in range(4)]
+    own = iter(range(2000, 3000))
+    texts = [" ".join(part[i] if i is not None else cases.prose(40, next(own)) for i in order) for order in ([0, 1], [1, 2], [0, 1, 2], [2, 3], [None, 1, None, 3], [3, 0], [2], [1, None], [None, 2, 1]) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, substring.remove_repeats(df, 35, texts=False).collect())) == brute_repeats([(i, words(t)) for i, t in enumerate(texts)], 35)
