@@ -6,19 +6,21 @@ under the segment's value and all values one bit away; two values at most two bi
 under a common key, so balls of radius 1 on both sides answer a radius of 2 at 33 keys, not 529, for a
 segment of 32 bits. What meets under a key is verified on the complete distance.
 
-`deduplicate` asks for a Jaccard similarity of `SIMILAR` on five-word shingles, which 64 bits are too few to
-tell. It takes fingerprints of 256 bits; half of them make six segments of 21 bits with balls as above (a pair
-of similarity 0.8 differs in 39 of 256 bits on average, and meets in one of the segments in about 19 of 20
-cases). Pairs within `SURE` bits are links (hardly one of them is below 0.75);
-those up to `WIDE` bits are compared on their shingles, exactly.
-Of what meets under the keys of a batch a minimum spanning forest by distance goes on, and for each of its
+`deduplicate` links the texts whose Jaccard similarity on five-word shingles is `SIMILAR` or more, all of them and no others.
+Fingerprints of 256 bits, cut into six segments of 21 bits with balls as above, find most: of what meets
+under the keys of a batch within `WIDE` bits a minimum spanning forest by distance goes on, and for each of its
 trees a star around the fingerprint nearest to the bitwise majority, which in a group of copies is the
-original: a group of thousands costs edges in proportion to its size, not pairs.
+original, so a group of thousands costs edges in proportion to its size, not pairs. Every edge is compared on its shingles.
+
+A forest drops pairs before they are compared, and segments miss some, so a second pass completes the links. Two sets
+of similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order that is the same for all. Such
+prefixes, rare shingles first, meet by shingle; pairs that the first pass has not linked already, and that sizes and
+places don't exclude, are compared on their shingles too.
 
 Defined results
 - null, empty or blank text: no shingle, fingerprint 0, linked like any other;
 - fewer words than a shingle: one shingle of all words;
-- equal texts, repeated rows: same fingerprint, same component; null doc_id: row kept, never the
+- equal texts, repeated rows: same fingerprint, same component; equal shingles: similarity 1; null doc_id: row kept, never the
   smallest id unless its component has no other; deduplicate keeps the smallest doc_id of a group, of equal
   doc_ids one row;
 - ties in distance: the pair of smaller fingerprints first;
@@ -28,6 +30,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +43,16 @@ from ._common import connected_components, n_partitions, staged, table
 SEED = 42
 #: Runs up to this length are compared by shifting whole batches; longer ones one by one.
 SHORT_RUN = 48
-#: Jaccard similarity of near duplicates; bits of 256 within which it is certain, and beyond which it is not to be had.
-SIMILAR, SURE, WIDE = 0.8, 26, 50
+#: Jaccard similarity of near duplicates; bits of 256 within which fingerprints are worth a comparison.
+SIMILAR, WIDE = 0.8, 50
 #: Segments of a wide fingerprint: three of 21 bits in each of its first two words.
 WIDE_SEGMENTS, WIDE_BITS = 6, 21
 #: Runs of wide fingerprints up to this length are compared pair by pair.
 SHORT_WIDE_RUN = 16
+#: Texts (about) whose shingles tell which are common, and the common ones at most: they order prefixes, results don't depend on them.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 1 << 18
+#: Comparisons of one text that meet in a task; texts with more are copied to several.
+HUB = 256
 #: Odd multipliers that spread a shingle's hash over four words.
 LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 LOW_BITS = np.uint64(0x0101010101010101)
@@ -208,7 +215,10 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
 
 def wide_fingerprint(text: bytes | None, words: int = 5) -> bytes:
     """256-bit SimHash: each shingle's hash is spread over four words."""
-    h = shingle_hashes(text, words)
+    return _majority(shingle_hashes(text, words))
+
+
+def _majority(h: np.ndarray) -> bytes:
     if not len(h):
         return bytes(32)
     ones = np.zeros((8, 32), dtype=np.int64)  # by bit of a byte and byte
@@ -344,7 +354,95 @@ def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
     return dealt.mapInArrow(_wide_edges(radius), "a binary, b binary, d int")
 
 
-def _alike(similar: float):
+def _least(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
+    """The smallest whole number of at least t n."""
+    return -(-n * t.numerator // t.denominator)
+
+
+def _prefix(u: np.ndarray, common: np.ndarray, count: np.ndarray, t: Fraction) -> np.ndarray:
+    """Of a set of shingles (sorted), rare ones first, so many that every set of similarity t shares one of them."""
+    if not len(u):
+        return u
+    if len(common):
+        at = np.minimum(np.searchsorted(common, u), len(common) - 1)
+        u = u[np.argsort(np.where(common[at] == u, count[at], 0), kind="stable")]
+    return u[: len(u) - _least(len(u), t) + 1]
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sorted; texts that have them) of the shingles most common in about ORDER_TEXTS texts (_k1, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).cast(pa.large_binary()):
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(x.as_py(), words)).view(np.int64))], names=["h"])
+
+    some = texts.where(F.pmod("_k1", F.lit(max(1, texts.count() // ORDER_TEXTS))) == 0).select("text")
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = (found.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def _prefix_pairs(t: Fraction):
+    """mapInArrow over rows (key, node, root, n, place) sorted by key: (a, b) of different roots that the sizes of
+    their sets and the places of the first shingle they share leave a similarity of t."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (root, n, place), (root2, n2, place2) = x[..., 2:].T, y[..., 2:].T
+        both = _least(n + n2, t / (1 + t))
+        return (root != root2) & (place + both <= n) & (place2 + both <= n2)
+
+    def found(rows: np.ndarray) -> Iterator[np.ndarray]:
+        key = rows[:, 0]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        lengths = np.diff(np.r_[starts, len(key)])
+        for s, size in zip(starts[lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
+            own = rows[s : s + size]
+            if (own[:, 2] == own[0, 2]).all():
+                continue
+            own = own[np.argsort(own[:, 3], kind="stable")]
+            ends = np.searchsorted(own[:, 3] * t.numerator, own[:, 3] * t.denominator, side="right")  # larger ones can't be alike
+            for i in range(size - 1):
+                late = own[i + 1 : ends[i]]
+                late = late[near(own[i], late)]
+                yield np.c_[np.full(len(late), own[i, 1]), late[:, 1]]
+        rows = rows[np.repeat(lengths <= SHORT_RUN, lengths)]
+        for o in range(1, SHORT_RUN):
+            same = np.flatnonzero(rows[o:, 0] == rows[:-o, 0])
+            if not len(same):
+                break
+            x, y = rows[same], rows[same + o]
+            ok = near(x, y)
+            yield np.c_[x[ok, 1], y[ok, 1]]
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ab = np.concatenate([np.empty((0, 2), dtype=np.int64), *(p for p in found(rows) if len(p))])
+        if len(ab):
+            ab = np.unique(np.sort(ab, axis=1), axis=0)
+            yield pa.record_batch([pa.array(ab[:, i].copy()) for i in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1).astype(np.int64))
+            size += b.num_rows
+            if size < 1 << 18 or held[-1][0, 0] == held[-1][-1, 0]:
+                continue
+            rows = np.concatenate(held)
+            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last run may go on
+            yield from pairs(rows[:cut])
+            held, size = [rows[cut:]], len(rows) - cut
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    return run
+
+
+def _alike(t: Fraction):
     """mapInArrow over rows (a, b, x, y), x and y sorted distinct shingle hashes: the pairs whose Jaccard similarity is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,51 +451,109 @@ def _alike(similar: float):
             for x, y in zip(b.column(2), b.column(3)):
                 x, y = (np.asarray(v.values) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similar * (len(x) + len(y) - both))
+                keep.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both))
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _keys() -> list[Column]:
-    """Two hashes of doc_id and text, which together stand for a row."""
-    text = F.col("text").cast("string")
-    return [F.xxhash64("doc_id", text).alias("_k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("_k2")]
+def _parities(u: np.ndarray) -> bytes:
+    """Of a set of shingles, the parity of those under each low end of their hash, as many as shingles (a power of two)."""
+    size = max(64, 1 << (len(u) - 1).bit_length()) if len(u) else 64
+    return np.packbits(np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots): (_k1, _k2, doc_id, fp) of every row of docs, and (node, root) of the fingerprints that links connect; root: a number.
+def _within(t: Fraction):
+    """mapInArrow over rows (a, b, n, n2, x, y), x and y parities: the pairs that parities leave a similarity of t: sets differ in at least as many shingles."""
 
-    Linked are texts of one wide fingerprint, texts within SURE bits, and texts within WIDE bits whose Jaccard similarity is `similar`.
-    """
+    def folded(v: bytes, size: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.frombuffer(v, dtype=np.uint64).reshape(-1, size // 8), axis=0)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([*b.columns[:3], pa.array([wide_fingerprint(t.as_py(), words) for t in b.column(3).cast(pa.large_binary())], pa.binary())], names=["_k1", "_k2", "doc_id", "fp"])
+            n, n2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            apart = []
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+                size = min(len(x), len(y))
+                apart.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()))
+            keep = np.array(apart, dtype=np.int64) <= n + n2 - 2 * _least(n + n2, t / (1 + t))
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """Of pairs (a, b) of nodes (node, n, bits, _k1, _k2 of one of its rows) those whose Jaccard similarity is t or more."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1).cast(pa.large_binary())]
+            sets = [np.unique(shingle_hashes(x.as_py(), words)).view(np.int64) for x in b.column(1).cast(pa.large_binary())]
             yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    texts = docs.select(*_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(texts.mapInArrow(prints, "_k1 long, _k2 long, doc_id long, fp binary"), "wide")
-    met = staged(wide_links(rows.select("fp").distinct()), "met").groupBy("a", "b").agg(F.min("d").alias("d"))
-    ends = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
-    nodes = staged(ends.select("fp", F.monotonically_increasing_id().alias("node")), "nodes")
-    number = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
-    met = staged(met.join(number("a"), "a").join(number("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "d"), "candidates")
-    sure = connected_components(met.where(F.col("d") <= SURE))
-    root = lambda side: sure.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    open_ = met.where(F.col("d") > SURE).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_ = staged(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "open")
-    need = nodes.join(open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct(), "node")
-    one = rows.join(need, "fp").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("node", "k.*")
+    def ends(p: DataFrame) -> DataFrame:
+        return p.select(F.col("a").alias("node")).union(p.select("b")).groupBy("node").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("copies"))
+
+    hubs = staged(ends(pairs).where("copies > 1"), "hubs")
+    copies = F.coalesce("copies", F.lit(1))
+
+    def beside(p: DataFrame, end: str, other: str, what: DataFrame) -> DataFrame:
+        """p with the columns that what has for one end; what meets a hub is dealt over its copies."""
+        p = p.join(hubs.withColumnRenamed("node", end), end, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies)).drop("copies")
+        s = what.join(hubs, "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+        return p.join(s.withColumnRenamed("node", end), [end, "copy"]).drop("copy")
+
+    both = beside(beside(pairs, "a", "b", nodes.select("node", "n", F.col("bits").alias("x"))), "b", "a", nodes.select("node", F.col("n").alias("n2"), F.col("bits").alias("y")))
+    pairs = staged(both.select("a", "b", "n", "n2", "x", "y").mapInArrow(_within(t), "a long, b long"), "within")
+    one = staged(nodes.select("node", "_k1", "_k2").join(ends(pairs).select("node"), "node"), "ends")
     sets = texts.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).select("node", "text").dropDuplicates(["node"])
     sets = staged(sets.mapInArrow(shingles, "node long, set array<long>"), "shingles")
-    side = lambda name, value: sets.select(F.col("node").alias(name), F.col("set").alias(value))
-    alike = open_.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike(similar), "a long, b long")
-    linked = connected_components(alike.union(sure.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    both = beside(beside(pairs, "a", "b", sets.withColumnRenamed("set", "x")), "b", "a", sets.withColumnRenamed("set", "y"))
+    return both.select("a", "b", "x", "y").mapInArrow(_alike(t), "a long, b long")
+
+
+def _keys() -> list[Column]:
+    """Two hashes of doc_id and text, which together stand for a row."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64("doc_id", text).alias("_k1"), F.xxhash64(F.lit(1), "doc_id", text).alias("_k2")]
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): (_k1, _k2, doc_id, fp, ...) of every row of docs, and (node, root) of the fp that links connect; root: a number.
+
+    fp: the wide fingerprint and 16 bytes that stand for the set of shingles. Linked are texts whose Jaccard similarity is `similar` or more.
+    """
+    t = Fraction(str(similar))
+    texts = docs.select(*_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts, words))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, bits, prefixes = [], [], [], []
+            for x in b.column(3).cast(pa.large_binary()):
+                h = shingle_hashes(x.as_py(), words)
+                u = np.unique(h)
+                fps.append(_majority(h) + xxhash.xxh3_128_digest(u.tobytes()))
+                sizes.append(len(u))
+                bits.append(_parities(u))
+                prefixes.append(_prefix(u, *common.value, t).view(np.int64))
+            more = [pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.record_batch([*b.columns[:3], *more], names=["_k1", "_k2", "doc_id", "fp", "n", "bits", "prefix"])
+
+    rows = staged(texts.mapInArrow(prints, "_k1 long, _k2 long, doc_id long, fp binary, n long, bits binary, prefix array<long>"), "wide")
+    nodes = rows.select("fp", "_k1", "_k2", "n", "bits", "prefix").dropDuplicates(["fp"]).withColumn("node", F.monotonically_increasing_id())
+    nodes = staged(nodes.withColumn("wide", F.substring("fp", 1, 32)), "nodes")
+    # what the fingerprints find: the sets under one fingerprint, and the edges between fingerprints
+    first = staged(nodes.groupBy("wide").agg(F.min("node").alias("node")), "first")
+    met = staged(wide_links(first.select(F.col("wide").alias("fp"))), "met").select("a", "b").distinct()
+    number = lambda side: first.select(F.col("wide").alias(side), F.col("node").alias(f"{side}_node"))
+    met = met.join(number("a"), "a").join(number("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    under_one = nodes.select("wide", F.col("node").alias("b")).join(first, "wide").where("node <> b").select(F.col("node").alias("a"), "b")
+    own = connected_components(_verified(staged(met.union(under_one), "candidates"), nodes, texts, words, t))
+    # the rest: pairs that share a shingle of their prefixes
+    have = nodes.join(own, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("prefix").alias("place", "key"))
+    dealt = have.select("key", "node", "root", "n", F.col("place").cast("long")).repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    rest = staged(dealt.mapInArrow(_prefix_pairs(t), "a long, b long").distinct(), "open")
+    linked = connected_components(_verified(rest, nodes, texts, words, t).union(own.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     linked = linked.union(linked.select("root", "root").distinct())  # a root stands for itself too
     return rows, linked.join(nodes, "node").select(F.col("fp").alias("node"), "root")
 

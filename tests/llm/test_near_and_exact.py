@@ -121,6 +121,32 @@ def test_near_copies_equal_brute_force(spark):
     assert len({group[i] for i in range(450, len(texts))}) <= 5
 
 
+def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
+    """Pairs that segments miss, that a forest drops for nearer ones, and that repeated lines set apart are linked, those below 0.8 under like fingerprints are not."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(120):  # one passage replaced: similarities around 0.8
+        base = cases.prose(100, 5000 + i).split()
+        texts.append(" ".join(base))
+        for size in rng.integers(3, 9, 3):
+            at = rng.integers(0, 100 - size)
+            texts.append(" ".join([*base[:at], *(f"new{rng.integers(1 << 30)}" for _ in range(size)), *base[at + size :]]))
+    for i in range(20):
+        base, line = cases.prose(80, 7000 + i), "one line that comes again and again " * 60
+        texts += [f"{base} {line}", f"{base} {line[: len(line) // 30]}", f"{cases.prose(80, 8000 + i)} {line}"]
+    texts += ["", " ", "a b", "A  b", "a b c", *["licence line of eight words in every text"] * 3, "the licence line of eight words in every text"]
+    sets = [shingles(x) for x in texts]
+    want = components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for short in (simhash.SHORT_RUN, 2):
+        monkeypatch.setattr(simhash, "SHORT_RUN", short)
+        monkeypatch.setattr(simhash, "HUB", short)
+        rows, roots = simhash.similar_groups(df)
+        group = {r.doc_id: r.fp if r.root is None else r.root for r in rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").collect()}
+        assert [[want[i] == want[j] for j in range(i)] for i in range(len(texts))] == [[group[i] == group[j] for j in range(i)] for i in range(len(texts))]
+        assert {r.doc_id for r in simhash.deduplicate(df).select("doc_id").collect()} == {min(i for i in range(len(texts)) if want[i] == c) for c in set(want)}
+
+
 def brute_repeats(rows, window):
     counts = Counter(tuple(w[i : i + window]) for _, w in rows for i in range(len(w) - window + 1))
     out = []
