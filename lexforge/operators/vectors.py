@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,85 @@ def cosine(a: Column, b: Column) -> Column:
     return dense_dot(a, b) / F.nullif(F.sqrt(dense_dot(a, a)) * F.sqrt(dense_dot(b, b)), F.lit(0.0))
 
 
+#: Vectors compared at once, of the table and of the queries; how far single precision may put a cosine off.
+TABLE_BLOCK, QUERY_BLOCK, SLACK = 4096, 1024, 1e-4
+
+
+def padded(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of lists of numbers: shorter ones end in zeros, nulls are zero."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(sizes), int(sizes.max(initial=1))), dtype=np.float32 if pa.types.is_float32(vectors.type.value_type) else np.float64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=False).astype(np.int64), out
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length in double precision; NaN where there is none."""
+    x = x.astype(np.float64)
+    with np.errstate(all="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def nearest(queries, k: int):
+    """mapInArrow over rows (id, vector): (query_id, doc_id, score), of each query (a broadcast of `padded`) the k vectors of
+    other ids that come first among the rows of a task by cosine (9 digits; NaN first) and id.
+
+    Products in single precision tell which pairs may be among them; those are computed in double precision.
+    """
+
+    def first(q: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first k of every q, in order of q."""
+        order = np.lexsort((doc, -np.round(score, 9), ~np.isnan(score), q))
+        q, doc, score = q[order], doc[order], score[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        kept = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k
+        return q[kept], doc[kept], score[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, raw = queries.value
+        if not len(asked):
+            return
+        best = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)) for _ in range(0, len(asked), QUERY_BLOCK)]
+        least = np.full(len(asked), -np.inf)
+        for b in batches:
+            for at in range(0, b.num_rows, TABLE_BLOCK):
+                part = b.slice(at, TABLE_BLOCK)
+                ids, x = padded(part.column(0), part.column(1))
+                order = np.argsort(ids, kind="stable")
+                ids, x = ids[order], x[order]
+                # of equal vectors, the k + 1 smallest ids can come first, the query's own among them
+                _, kind = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").reshape(-1), return_inverse=True)
+                by = np.argsort(kind, kind="stable")
+                start = np.flatnonzero(np.r_[True, np.diff(kind[by]) > 0])
+                by = np.sort(by[np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)])) <= k])
+                ids, x = ids[by], _units(x[by])
+                width = max(x.shape[1], raw.shape[1])
+                x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+                single = x.T.astype(np.float32)
+                for i, lo in enumerate(range(0, len(asked), QUERY_BLOCK)):
+                    q = _units(raw[lo : lo + QUERY_BLOCK])
+                    q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
+                    score = q.astype(np.float32) @ single
+                    score[np.isnan(score)] = np.inf
+                    floor = least[lo : lo + QUERY_BLOCK]
+                    if np.isneginf(floor).any() and len(ids) > k + 1:
+                        floor = np.maximum(floor, np.partition(score, -(k + 1), axis=1)[:, -(k + 1)])
+                    row, col = np.nonzero(score >= (floor - SLACK)[:, None].astype(np.float32))
+                    other = asked[lo + row] != ids[col]
+                    row, col = row[other], col[other]
+                    if not len(row):
+                        continue
+                    exact = np.concatenate([np.einsum("ij,ij->i", q[row[j : j + 65_536]], x[col[j : j + 65_536]]) for j in range(0, len(row), 65_536)])
+                    best[i] = first(*(np.concatenate(c) for c in zip(best[i], (row, ids[col], exact))))
+                    full = np.flatnonzero(np.bincount(best[i][0], minlength=len(q)) == k)
+                    last = np.searchsorted(best[i][0], full, side="right") - 1
+                    least[lo + full] = np.where(np.isnan(best[i][2][last]), np.inf, best[i][2][last])
+        for i, (q, doc, score) in enumerate(best):
+            yield pa.record_batch([pa.array(asked[i * QUERY_BLOCK + q]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
 def sigmoid(x: Column) -> Column:
     """Without overflow at either end."""
     e = F.exp(-F.abs(x))

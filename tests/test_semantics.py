@@ -3,11 +3,16 @@
 import math
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.operators import fusion, graph, index, metrics, vectors
+from lexforge.plans import all as _all  # noqa: F401  registers the queries
+from lexforge.plans import registry
+from tests.compare import difference
 
 
 def one(spark, column, **values):
@@ -209,3 +214,24 @@ def test_two_passes_equal_the_index(spark, monkeypatch, features):
         have = {(x.query_id, x.rank): (x.doc_id, round(x.score, 6)) for x in found.collect()}
         assert have == {(x.query_id, x.rank): (x.doc_id, round(x.score, 6)) for x in index.ranked(want, 10).collect()}
     assert matched.top(docs.union(docs.limit(1)), queries, 10) is None
+
+
+def test_dense_neighbours_in_one_pass(spark, tmp_path, monkeypatch):
+    """Ties, copies, null, empty, zero and short vectors as in the SQL; the plan crosses nothing, however small the blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)]
+    for i in (0, 20, *range(100, 140)):
+        rows[i] = (i, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+    rows[41], rows[60], rows[62], rows[81] = (41, [1.0, 2.0, 3.0]), (60, None), (62, []), (81, [2.0, 4.0, 6.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+    for zero in (False, True):
+        if zero:
+            rows[160], rows[163] = (160, [0.0] * 8), (163, [0.0] * 8)
+        spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        for sizes in ((4096, 1024), (16, 4)):
+            monkeypatch.setattr(vectors, "TABLE_BLOCK", sizes[0])
+            monkeypatch.setattr(vectors, "QUERY_BLOCK", sizes[1])
+            assert difference(spark, "", lambda s, _: registry.QUERIES["dense_neighbours"](s, str(tmp_path)), registry.ORACLE_SQL["dense_neighbours"], con) == ""
+    plan = registry.QUERIES["dense_neighbours"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
