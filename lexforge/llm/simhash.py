@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import connected_components, n_partitions, staged, table
+from ._common import connected_components, lean, n_partitions, small_batches, staged, table
 
 SEED = 42
 #: Runs up to this length are compared by shifting whole batches; longer ones one by one.
@@ -51,6 +51,8 @@ WIDE_SEGMENTS, WIDE_BITS = 6, 21
 SHORT_WIDE_RUN = 16
 #: Texts (about) whose shingles tell which are common, and the common ones at most: they order prefixes, results don't depend on them.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 1 << 18
+#: Rows of a slice where batches are joined until runs are whole.
+RUNS = 1 << 14
 #: Comparisons of one text that meet in a task; texts with more are copied to several.
 HUB = 256
 #: Odd multipliers that spread a shingle's hash over four words.
@@ -351,7 +353,7 @@ def wide_links(fps: DataFrame, radius: int = WIDE) -> DataFrame:
     parts = n_partitions(fps.sparkSession)
     block = F.expr(f"shiftrightunsigned(key, {WIDE_BITS - min(WIDE_BITS, max(1, parts.bit_length() - 2))})")
     dealt = keyed.repartition(parts, block).sortWithinPartitions("key")
-    return dealt.mapInArrow(_wide_edges(radius), "a binary, b binary, d int")
+    return dealt.mapInArrow(lean(_wide_edges(radius), RUNS), "a binary, b binary, d int")
 
 
 def _least(n: np.ndarray | int, t: Fraction) -> np.ndarray | int:
@@ -378,7 +380,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.record_batch([pa.array(np.unique(shingle_hashes(x.as_py(), words)).view(np.int64))], names=["h"])
 
     some = texts.where(F.pmod("_k1", F.lit(max(1, texts.count() // ORDER_TEXTS))) == 0).select("text")
-    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    found = some.mapInArrow(lean(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
     h, n = (found.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(h.view(np.uint64))
     return h.view(np.uint64)[order], n[order]
@@ -503,12 +505,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
         return p.join(s.withColumnRenamed("node", end), [end, "copy"]).drop("copy")
 
     both = beside(beside(pairs, "a", "b", nodes.select("node", "n", F.col("bits").alias("x"))), "b", "a", nodes.select("node", F.col("n").alias("n2"), F.col("bits").alias("y")))
-    pairs = staged(both.select("a", "b", "n", "n2", "x", "y").mapInArrow(_within(t), "a long, b long"), "within")
+    pairs = staged(both.select("a", "b", "n", "n2", "x", "y").mapInArrow(lean(_within(t)), "a long, b long"), "within")
     one = staged(nodes.select("node", "_k1", "_k2").join(ends(pairs).select("node"), "node"), "ends")
     sets = texts.select("_k1", "_k2", "text").join(one, ["_k1", "_k2"]).select("node", "text").dropDuplicates(["node"])
-    sets = staged(sets.mapInArrow(shingles, "node long, set array<long>"), "shingles")
+    sets = staged(sets.mapInArrow(lean(shingles), "node long, set array<long>"), "shingles")
     both = beside(beside(pairs, "a", "b", sets.withColumnRenamed("set", "x")), "b", "a", sets.withColumnRenamed("set", "y"))
-    return both.select("a", "b", "x", "y").mapInArrow(_alike(t), "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(_alike(t)), "a long, b long")
 
 
 def _keys() -> list[Column]:
@@ -539,7 +541,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) ->
             more = [pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.record_batch([*b.columns[:3], *more], names=["_k1", "_k2", "doc_id", "fp", "n", "bits", "prefix"])
 
-    rows = staged(texts.mapInArrow(prints, "_k1 long, _k2 long, doc_id long, fp binary, n long, bits binary, prefix array<long>"), "wide")
+    rows = staged(texts.mapInArrow(lean(prints), "_k1 long, _k2 long, doc_id long, fp binary, n long, bits binary, prefix array<long>"), "wide")
     nodes = rows.select("fp", "_k1", "_k2", "n", "bits", "prefix").dropDuplicates(["fp"]).withColumn("node", F.monotonically_increasing_id())
     nodes = staged(nodes.withColumn("wide", F.substring("fp", 1, 32)), "nodes")
     # what the fingerprints find: the sets under one fingerprint, and the edges between fingerprints
@@ -552,7 +554,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) ->
     # the rest: pairs that share a shingle of their prefixes
     have = nodes.join(own, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("prefix").alias("place", "key"))
     dealt = have.select("key", "node", "root", "n", F.col("place").cast("long")).repartition(n_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    rest = staged(dealt.mapInArrow(_prefix_pairs(t), "a long, b long").distinct(), "open")
+    rest = staged(dealt.mapInArrow(lean(_prefix_pairs(t), RUNS), "a long, b long").distinct(), "open")
     linked = connected_components(_verified(rest, nodes, texts, words, t).union(own.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     linked = linked.union(linked.select("root", "root").distinct())  # a root stands for itself too
     return rows, linked.join(nodes, "node").select(F.col("fp").alias("node"), "root")
@@ -560,7 +562,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = SIMILAR) ->
 
 def deduplicate(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> DataFrame:
     """docs with one row of every group of near duplicates: the one of smallest doc_id (null last)."""
-    rows, roots = similar_groups(docs, words, similar)
+    with small_batches(docs.sparkSession):
+        rows, roots = similar_groups(docs, words, similar)
     group = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("_k1", "_k2", "doc_id", F.col("root"), F.when(F.col("root").isNull(), F.col("fp")).alias("alone"))
     first = group.groupBy("root", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2")).alias("s"))
     kept = staged(first.select("s._k1", "s._k2"), "kept")

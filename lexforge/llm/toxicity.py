@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged, table
+from ._common import lean, staged, table
 
 LABELLED = 20_000
 FEATURES = 2_000
@@ -212,7 +212,7 @@ def keep_mild(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([not (len(p) and p[0] >= 0.5) for p in of(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexforge.llm import linededup, queries, simhash, substring
+from lexforge.llm import _common, linededup, queries, simhash, substring
 from tests.compare import connect, difference
 from tests.llm import cases
 
@@ -147,6 +149,53 @@ def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
         assert {r.doc_id for r in simhash.deduplicate(df).select("doc_id").collect()} == {min(i for i in range(len(texts)) if want[i] == c) for c in set(want)}
 
 
+def test_near_dedup_hands_python_small_batches(spark, monkeypatch):
+    """30 MB of texts in one partition never lie in one batch; the session's setting comes back."""
+    rows = [(i, cases.prose(1500, i)) for i in range(200)]
+    df = spark.createDataFrame([(200 * k + i, f"{k} {x}") for k in range(15) for i, x in rows], "doc_id long, text string").repartition(1)
+    whole, most = type(df).mapInArrow, 3 * (_common.BATCH_MB << 20)
+    assert df.agg(F.sum(F.length("text"))).head()[0] > 2 * most
+
+    def watched(self, f, *a, **b):
+        def run(batches):
+            def small():
+                for x in batches:
+                    if x.nbytes > most:
+                        raise MemoryError(f"a batch of {x.nbytes} bytes")
+                    yield x
+
+            yield from f(small())
+
+        return whole(self, run, *a, **b)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    before = spark.conf.get(_common.BATCH_CONF, None)
+    assert {r.doc_id for r in simhash.deduplicate(df).select("doc_id").collect()} == set(range(200))
+    assert spark.conf.get(_common.BATCH_CONF, None) == before
+
+
+def test_lean_passes_all_rows_and_leaves_no_memory():
+    anonymous = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    sizes, pinned = [], []
+
+    def run(batches):
+        for b in batches:
+            sizes.append(b.num_rows)
+            freed = [b"%d" % i * 200 for i in range(150_000)]
+            pinned.append(freed[-1])  # what lies below it isn't given back by itself
+            del freed
+            yield b
+
+    batches = [pa.record_batch([pa.array(range(n), pa.int64())], names=["x"]) for n in (7, 0, 3)]
+    _common.trim()
+    before = anonymous()
+    list(run(iter(batches[:1])))
+    assert anonymous() - before > 100
+    got = list(_common.lean(run, 3)(iter(batches)))
+    assert sizes == [7, 3, 3, 1, 3] and pa.Table.from_batches(got) == pa.Table.from_batches(batches)
+    assert anonymous() - before < 50
+
+
 def brute_repeats(rows, window):
     counts = Counter(tuple(w[i : i + window]) for _, w in rows for i in range(len(w) - window + 1))
     out = []
